@@ -35,9 +35,9 @@ def _atoms(text: Column, size: int, separators: tuple[str, ...]) -> Column:
         F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(separator), p))),
         lambda p: p != "")
     fence = F.array(F.lit(""))
-    cut = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) < size, F.array(p)).otherwise(
+    # a text without this separator is one long piece and goes on to the finer ones
+    return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) < size, F.array(p)).otherwise(
         F.concat(fence, _atoms(p, size, finer), fence))))
-    return F.when(F.contains(text, F.lit(separator)), cut).otherwise(_atoms(text, size, finer))
 
 
 def _pack(atoms: Column, size: int, overlap: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
 from prospectra.operators import chunking, classify
-from prospectra.plans.inputs import check_sql, derived, table
+from prospectra.plans.inputs import check_sql, derived, spread, table
 from prospectra.plans.registry import Registry
 
 # pages of four lines
@@ -46,7 +46,7 @@ def chunks_sql(name: str, size: int, overlap: int) -> str:
 
 
 def document_pages(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", chunking.pages_of_lines(F.col("text")).alias("pages"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", chunking.pages_of_lines(F.col("text")).alias("pages"))
 
 
 def document_chunks(spark, sf, size=V.GENERAL_CHUNKS[0], overlap=V.GENERAL_CHUNKS[1]):

@@ -284,6 +284,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, spread by key before costly per-row work.
+
+    A large table already has far more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(cores, *keys)
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame."""
     text = ",\n".join(f"{n} AS ({DERIVED[n].strip()})" for n in _chain(name))
