@@ -253,14 +253,50 @@ SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Legal.' WHEN 1 THEN 'The category is
   CASE WHEN doc_id % 5 = 0 THEN 'finance' WHEN doc_id % 11 = 3 THEN 'legal' END AS chosen
 FROM documents WHERE doc_id % 13 <> 12
 """
+# ---- files, page blocks, saved results
+DERIVED["files"] = """
+SELECT doc_id, 'Offer ' || source || ' v.' || CAST(doc_id AS STRING) || CASE doc_id % 6 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt'
+    WHEN 3 THEN '.exe' WHEN 4 THEN '' ELSE '.pdf' END AS name,
+  n_chars * CASE WHEN doc_id % 9 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN 40000 ELSE 1 END AS size, text
+FROM documents
+"""
+DERIVED["stored_chunks"] = """
+SELECT source AS domain, CAST(doc_id AS STRING) AS filename, doc_id, CAST(ln AS INT) AS chunk_id, CAST(ln DIV 4 + 1 AS INT) AS page, line AS text
+FROM (SELECT source, doc_id, LINES[text])
+"""
+DERIVED["blocks"] = """
+SELECT user_id AS doc_id, CAST(event_id % 5 + 1 AS INT) AS page, event_id AS block_no, CAST(k - 5 AS DOUBLE) AS x0, value AS y0,
+  CAST(k + 5 AS DOUBLE) AS x1, value + 2 AS y1, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS block_type,
+  event_type || ' ' || CAST(k AS STRING) || ' ' AS text
+FROM (SELECT user_id, event_id, event_type, value, CAST(JSON[props; k] AS INT) AS k FROM events) AS e
+"""
+DERIVED["boxes"] = """
+SELECT doc_id, page, t AS table_no, CAST(CASE t WHEN 0 THEN 10 WHEN 1 THEN 35 ELSE 500 END AS DOUBLE) AS x0, 0.0E0 AS y0,
+  CAST(CASE t WHEN 0 THEN 40 WHEN 1 THEN 60 ELSE 510 END AS DOUBLE) AS x1, 60.0E0 AS y1,
+  '[TABLE] ' || CAST(t AS STRING) || ' of ' || CAST(doc_id AS STRING) AS text
+FROM (SELECT doc_id, page, RANGE[0; 2] AS t FROM (SELECT DISTINCT doc_id, page FROM blocks) AS p) AS b
+"""
+DERIVED["agent_results"] = """
+SELECT user_id AS doc_id, event_id AS result_id, ts AS saved_at, CASE k % 5 WHEN 0 THEN 'risk' WHEN 1 THEN 'financial' WHEN 2 THEN 'business'
+    WHEN 3 THEN 'legal' ELSE 'offer' END AS agent,
+  CASE event_type WHEN 'error' THEN 'failed' ELSE 'done' END AS status, CAST(floor(value * 60) AS BIGINT) AS tokens, k
+FROM (SELECT user_id, event_id, event_type, value, ts, CAST(JSON[props; k] AS INT) AS k FROM events) AS e
+"""
+DERIVED["messages"] = """
+SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 13 = 0 THEN '  ' WHEN (conv_id + turn) % 17 = 0 THEN '' ELSE text END AS text,
+  CASE WHEN (conv_id * 3 + turn) % 11 = 0 THEN 'failed' END AS error, (conv_id + turn) % 19 = 0 AS stopped
+FROM conversations WHERE role <> 'system'
+"""
 
 DEPENDS = {
+    "boxes": ("blocks",),
     "fin_wide": ("fin_rev",), "statement_values": ("fin_rev", "fin_wide", "statement_rows"),
     "cells": ("fin_rev", "fin_wide", "statement_rows", "statement_values"),
 }
 
 _RANGE = re.compile(r"RANGE\[([^;\]]*);([^\]]*)\]")
 _JSON = re.compile(r"JSON\[([^;\]]*);\s*([^\]]*)\]")
+_LINES = re.compile(r"\(SELECT (\w+), (\w+), LINES\[text\]\)")
 _MONEY = re.compile(r"MONEY\[([^\]]*)\]")
 
 
@@ -276,6 +312,8 @@ def check_sql(*names: str) -> str:
     text = ",\n".join(f"{n} AS ({DERIVED[n].strip()})" for n in ordered)
     text = _RANGE.sub(r"unnest(generate_series(\1,\2))", text)
     text = _JSON.sub(r"json_extract_string(\1, '$.\2')", text)
+    text = _LINES.sub(r"(SELECT \1, \2, unnest(range(len(l))) AS ln, unnest(l) AS line FROM "
+                      r"(SELECT *, string_split(text, chr(10)) AS l FROM documents))", text)
     text = _MONEY.sub(r"format('{:,.2f}', \1)", text)
     return text.replace(" DIV ", " // ")
 
@@ -298,6 +336,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = ",\n".join(f"{n} AS ({DERIVED[n].strip()})" for n in _chain(name))
     text = _RANGE.sub(r"explode(sequence(\1,\2))", text)
     text = _JSON.sub(r"get_json_object(\1, '$.\2')", text)
+    text = _LINES.sub(r"(SELECT \1, \2, posexplode(split(text, '\\n')) AS (ln, line) FROM documents)", text)
     text = _MONEY.sub(r"format_number(\1, 2)", text)
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
     for t in used:
