@@ -137,8 +137,9 @@ def match_line_item(statement: Column, label: Column, parent: Column) -> Column:
         return first_match([((statement == name) & text.rlike(pattern), item)
                             for name, rules in V.LINE_ITEMS.items() for item, pattern in rules.items()])
 
-    with_parent = F.when(parent != "", clean_label(F.concat_ws(" ", parent, label)))
-    return F.coalesce(item_of(clean_label(label)), item_of(with_parent))
+    # both candidates pass through one rule chain inside a lambda, which keeps generated code small
+    candidates = F.array_compact(F.array(clean_label(label), F.when(parent != "", clean_label(F.concat_ws(" ", parent, label)))))
+    return F.get(F.array_compact(F.transform(candidates, item_of)), F.lit(0))
 
 
 def similarity_from_distance(distance: Column) -> Column:

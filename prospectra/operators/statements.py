@@ -27,12 +27,16 @@ def first_pages(pages_with_statement: DataFrame) -> DataFrame:
 
 
 def gather_tables(cells: DataFrame) -> DataFrame:
-    """One row per printed table: `rows`, an ordered array of arrays of cell texts."""
-    rows = (cells.groupBy(*TABLE, "row_no")
-            .agg(F.array_sort(F.collect_list(F.struct("col", F.trim(F.translate(F.coalesce("text", F.lit("")), "\n", " ")).alias("text")))).alias("c")))
-    return (rows.groupBy(*TABLE)
-            .agg(F.array_sort(F.collect_list(F.struct("row_no", F.col("c.text").alias("cells")))).alias("r"))
-            .select(*TABLE, F.col("r.cells").alias("rows")))
+    """One row per printed table: `rows`, an ordered rectangular array of arrays of cell texts."""
+    text = F.trim(F.translate(F.coalesce("text", F.lit("")), "\n", " "))
+    rows = cells.groupBy(*TABLE, "row_no").agg(F.collect_list(F.struct("col", text.alias("text"))).alias("c"), F.max("col").alias("last"))
+    gathered = rows.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("row_no", "c"))).alias("r"), F.max("last").alias("last"))
+
+    def at(row: Column, col: Column) -> Column:
+        return F.coalesce(F.get(F.filter(row["c"], lambda x: x["col"] == col), F.lit(0))["text"], F.lit(""))
+
+    return gathered.select(*TABLE, F.transform("r", lambda row: F.transform(
+        F.sequence(F.lit(0), F.col("last")), lambda col: at(row, col))).alias("rows"))
 
 
 def with_values(tables: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ SELECT * FROM (VALUES
 ) AS v(idx, statement, row_no, label, item)
 """
 DERIVED["statement_pages"] = """
-SELECT doc_id, page,
+SELECT doc_id, CAST(page AS INT) AS page,
   CASE WHEN doc_id % 4 = 3 AND page > 58 THEN 'Restated ' ELSE '' END
    || CASE page WHEN 58 THEN 'NOTES' WHEN 59 THEN 'Statement of Profit and Loss' WHEN 60 THEN 'Assets and Liabilities'
         ELSE CASE WHEN doc_id % 8 = 5 THEN 'continued' ELSE 'Summary of Cash Flow' END END
