@@ -287,8 +287,18 @@ SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 13 = 0 THEN '  ' WHEN (
   CASE WHEN (conv_id * 3 + turn) % 11 = 0 THEN 'failed' END AS error, (conv_id + turn) % 19 = 0 AS stopped
 FROM conversations WHERE role <> 'system'
 """
+DERIVED["offer_answers"] = """
+SELECT doc_id, amount_unit, fresh_issue_amount, CAST(fresh_issue_shares AS BIGINT) AS fresh_issue_shares, CAST(offer_for_sale_shares AS BIGINT) AS offer_for_sale_shares,
+  CAST(shares_after_offer AS BIGINT) AS shares_after_offer,
+  'The fresh issue of ' || CASE WHEN doc_id % 4 = 1 THEN 'an amount to be decided' ELSE '₹ ' || COALESCE(MONEY[fresh_issue_amount], 'nil') END
+   || ' offers ' || CASE WHEN doc_id % 5 = 2 THEN '[●]' ELSE COALESCE(CAST(fresh_issue_shares AS STRING), '') END
+   || ' shares; holders sell ' || CASE WHEN doc_id % 6 = 3 THEN 'some' ELSE CAST(offer_for_sale_shares AS STRING) END
+   || ' shares; after it there are ' || COALESCE(CAST(shares_after_offer + doc_id % 3 - 1 AS STRING), '') || ' shares.' AS source_text
+FROM offers
+"""
 
 DEPENDS = {
+    "offer_answers": ("offers",),
     "boxes": ("blocks",),
     "fin_wide": ("fin_rev",), "statement_values": ("fin_rev", "fin_wide", "statement_rows"),
     "cells": ("fin_rev", "fin_wide", "statement_rows", "statement_values"),
