@@ -69,19 +69,20 @@ def split_cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 def case_summary(cases: DataFrame, net_worth: DataFrame) -> DataFrame:
     """One row per document: count and amount of core cases by type, totals, share of net worth."""
     counted = F.col("against_party") & F.col("party").isin(*V.CORE_PARTIES) & ~F.col("in_total_row")
-    amount = F.coalesce("amount_million", F.lit(0.0))
+    # three decimals each: exact decimal sums do not depend on the order of addition
+    amount = F.col("amount_million").cast("decimal(28,3)")
 
-    def total(condition: Column, value: Column, zero) -> Column:
-        return F.coalesce(F.sum(F.when(condition, value)), F.lit(zero))
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, amount)).cast("double"), F.lit(0.0))
 
     zero = F.lit(0).cast("long")
     per_type = []
     for t in V.CASE_TYPES:
         of_type = counted & (F.col("type") == t)
         per_type += [F.coalesce(F.sum(F.when(of_type, F.col("count"))), zero).alias(f"n_{t}"),
-                     exact_round(total(of_type, amount, 0.0), 2).alias(f"amount_{t}")]
+                     exact_round(total(of_type), 2).alias(f"amount_{t}")]
     summed = cases.groupBy("doc_id").agg(
-        *per_type, exact_round(total(counted, amount, 0.0), 2).alias("total_amount"),
+        *per_type, exact_round(total(counted), 2).alias("total_amount"),
         F.coalesce(F.sum(F.when(~F.col("against_party") & ~F.col("in_total_row"), F.col("count"))), zero).alias("filed_by_parties"))
     worth = summed.join(net_worth.select("doc_id", "net_worth"), "doc_id", "left")
     return worth.withColumn("pct_of_net_worth", F.when(

@@ -296,6 +296,23 @@ SELECT doc_id, amount_unit, fresh_issue_amount, CAST(fresh_issue_shares AS BIGIN
    || ' shares; after it there are ' || COALESCE(CAST(shares_after_offer + doc_id % 3 - 1 AS STRING), '') || ' shares.' AS source_text
 FROM offers
 """
+# ---- spans of printed lines, evidence excerpts, raw answers
+DERIVED["spans"] = """
+SELECT user_id AS doc_id, event_id DIV 7 AS line_no, repeat('x', CAST(floor(value) AS INT) % 12) || ' ' AS text, event_type IN ('view', 'click', 'signup', 'purchase') AS bold
+FROM events
+"""
+DERIVED["excerpts"] = """
+SELECT user_id AS doc_id, event_id AS prio, CASE WHEN event_type = 'view' THEN 'page' ELSE 'hit' END AS kind, k % 30 AS page, k AS chunk_id,
+  event_type || ' excerpt ' || CAST(event_id AS STRING) AS text
+FROM (SELECT user_id, event_id, event_type, value, CAST(JSON[props; k] AS INT) AS k FROM events) AS e
+"""
+DERIVED["answer_replies"] = """
+SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN '{"number": 3, "head' WHEN doc_id % 10 = 7 THEN 'sorry, no answer' ELSE
+  '{"number": ' || CAST(doc_id % 90 + 1 AS STRING) || CASE WHEN doc_id % 9 = 5 THEN '' ELSE ', "headline": "risk in ' || lang || '"' END
+  || ', "category": "' || CASE doc_id % 8 WHEN 0 THEN 'business' WHEN 1 THEN 'litigation' WHEN 2 THEN 'weather' ELSE 'financial' END
+  || '", "score": ' || CAST(doc_id % 7 AS STRING) || CASE WHEN doc_id % 6 = 1 THEN ', "note": "short"' ELSE '' END || '}' END AS json
+FROM documents
+"""
 
 DEPENDS = {
     "offer_answers": ("offers",),

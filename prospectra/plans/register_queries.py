@@ -95,8 +95,8 @@ rec AS (SELECT doc_id, ord, heading, party, against_party, type, total_row, coun
 dd AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY doc_id, party, against_party, type, amount_million, CASE WHEN amount_million IS NULL THEN lower(left(summary, 30)) END ORDER BY ord) = 1),
 mk AS (SELECT *, NOT total_row AND bool_or(total_row) OVER (PARTITION BY doc_id, party, type) AS in_total_row FROM dd),
 ck AS (SELECT *, against_party AND party IN ('company', 'subsidiary', 'promoter', 'director') AND NOT in_total_row AS counted FROM mk),
-sm AS (SELECT ck.doc_id, {', '.join(f"CAST(coalesce(sum(count) FILTER (counted AND type = '{t}'), 0) AS BIGINT) AS n_{t}, CAST(printf('%.2f', coalesce(sum(amount_million) FILTER (counted AND type = '{t}'), 0)) AS DOUBLE) AS amount_{t}" for t in V.CASE_TYPES)},
-  CAST(printf('%.2f', coalesce(sum(amount_million) FILTER (counted), 0)) AS DOUBLE) AS total_amount,
+sm AS (SELECT ck.doc_id, {', '.join(f"CAST(coalesce(sum(count) FILTER (counted AND type = '{t}'), 0) AS BIGINT) AS n_{t}, CAST(printf('%.2f', CAST(coalesce(sum(CAST(amount_million AS DECIMAL(28,3))) FILTER (counted AND type = '{t}'), 0) AS DOUBLE)) AS DOUBLE) AS amount_{t}" for t in V.CASE_TYPES)},
+  CAST(printf('%.2f', CAST(coalesce(sum(CAST(amount_million AS DECIMAL(28,3))) FILTER (counted), 0) AS DOUBLE)) AS DOUBLE) AS total_amount,
   CAST(coalesce(sum(count) FILTER (NOT against_party AND NOT in_total_row), 0) AS BIGINT) AS filed_by_parties FROM ck GROUP BY ck.doc_id),
 nw AS (SELECT doc_id, arg_max(total_equity, y) AS net_worth FROM fin_wide GROUP BY doc_id),
 summ AS (SELECT sm.*, net_worth, CASE WHEN net_worth > 0 THEN CAST(printf('%.1f', total_amount / net_worth * 100) AS DOUBLE) END AS pct_of_net_worth
