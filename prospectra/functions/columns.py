@@ -99,3 +99,17 @@ def growth_per_year(first: Column, last: Column, years: Column) -> Column:
 def grade(value: Column, good: float, bad: float) -> Column:
     return (F.when(value.isNull(), "unknown").when(value >= good, "positive").when(value < bad, "negative")
             .otherwise("neutral"))
+
+
+def bind(value: Column, body) -> Column:
+    """body(v) with v computed once, for expressions that use a costly value several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed(df, **columns: Column):
+    """Adds columns that are computed exactly once per row.
+
+    Plain projections may be merged, or copied into filters above them, and then run a costly
+    array expression again for every use; a one-row generator is left in place.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

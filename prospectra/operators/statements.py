@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
-from prospectra.functions.columns import exact_round, first_match, lit_array, lookup
+from prospectra.functions.columns import computed, exact_round, first_match, lit_array, lookup
 from prospectra.functions.text import PERIOD_TYPE, looks_like_year, match_line_item, parse_periods, parse_value
 
 TABLE = ["doc_id", "page", "table_no"]
@@ -42,17 +42,17 @@ def gather_tables(cells: DataFrame) -> DataFrame:
 def with_values(tables: DataFrame) -> DataFrame:
     """Replaces `rows` by structs (cells, values, label); label is the first non-empty cell that is not a number."""
     def read(cells: Column) -> Column:
-        values = F.filter(F.transform(cells, parse_value), lambda v: v.isNotNull())
+        values = F.array_compact(F.transform(cells, parse_value))
         label = F.get(F.filter(cells, lambda c: (c != "") & parse_value(c).isNull()), F.lit(0))
         return F.struct(cells.alias("cells"), values.alias("values"), F.coalesce(label, F.lit("")).alias("label"))
 
-    return tables.withColumn("rows", F.transform("rows", read))
+    return computed(tables.withColumnRenamed("rows", "__rows"), rows=F.transform("__rows", read)).drop("__rows")
 
 
 def with_header(tables: DataFrame) -> DataFrame:
     """Adds `header_rows`, the number of rows before the first with two numbers that are not all years."""
     numeric = F.transform("rows", lambda r: (F.size(r["values"]) >= 2) & ~F.forall(r["values"], looks_like_year))
-    return tables.withColumn("header_rows", F.greatest(F.array_position(numeric, F.lit(True)) - 1, F.lit(0)).cast("int"))
+    return computed(tables, header_rows=F.greatest(F.array_position(numeric, F.lit(True)) - 1, F.lit(0)).cast("int"))
 
 
 def with_periods(tables: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def with_periods(tables: DataFrame) -> DataFrame:
     width = F.size(F.get("rows", F.lit(0))["cells"])
     columns = F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.array_join(
         F.transform(header, lambda r: F.coalesce(F.get(r["cells"], c), F.lit(""))), " "))
-    return tables.withColumn("periods", parse_periods(F.array_join(columns, " ")))
+    return computed(tables, periods=parse_periods(F.array_join(columns, " ")))
 
 
 def table_entries(tables: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def table_entries(tables: DataFrame) -> DataFrame:
             (label != "", state(s["entries"], label, label))], s)
 
     start = state(F.array().cast(entry_type), F.lit(""), F.lit(""))
-    return tables.withColumn("entries", F.aggregate(body, start, step, lambda s: s["entries"]))
+    return computed(tables, entries=F.aggregate(body, start, step, lambda s: s["entries"]))
 
 
 def read_tables(cells: DataFrame) -> DataFrame:

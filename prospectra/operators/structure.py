@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
-from prospectra.functions.columns import first_match, lit_array, strip
+from prospectra.functions.columns import bind, computed, first_match, lit_array, strip
 from prospectra.functions.text import (
     collapse_ws, is_skipped_section, looks_like_heading, normalise_title, section_key, without_section_prefix,
 )
@@ -35,8 +35,10 @@ def read_toc(pages: Column, start: Column) -> Column:
         return F.struct(entries.alias("entries"), pending.alias("pending"), found.alias("found"))
 
     def read_line(s: Column, raw: Column) -> Column:
-        line = strip(raw)
-        title = F.trim(F.concat(s["pending"], F.lit(" "), F.regexp_extract(line, V.TOC_ENTRY, 1)))
+        return bind(strip(raw), lambda line: bind(
+            F.trim(F.concat(s["pending"], F.lit(" "), F.regexp_extract(line, V.TOC_ENTRY, 1))), lambda title: next_state(s, line, title)))
+
+    def next_state(s: Column, line: Column, title: Column) -> Column:
         page = F.regexp_extract(line, V.TOC_ENTRY, 2).cast("int")
         entry = F.array(F.struct(collapse_ws(title).alias("title"), page.alias("page")))
         return first_match([
@@ -72,17 +74,20 @@ def most_common(values: Column) -> Column:
 
 def locate(title: Column, expected: Column, normalised: Column) -> Column:
     """(index, verified): where the title really appears, trying the nearest pages; else the expected page."""
-    wanted = F.substring(without_section_prefix(title), 1, V.TITLE_PROBE_CHARS)
-    hits = F.filter(F.transform(lit_array(V.TITLE_SHIFTS), lambda s: expected + s), lambda i: (i >= 0) & F.coalesce(
-        F.contains(F.get(normalised, i), wanted), F.lit(False)))
-    return F.struct(F.coalesce(F.get(hits, F.lit(0)), expected).alias("index"), (F.size(hits) > 0).alias("verified"))
+    hits = bind(F.substring(without_section_prefix(title), 1, V.TITLE_PROBE_CHARS), lambda wanted: F.filter(
+        F.transform(lit_array(V.TITLE_SHIFTS), lambda s: expected + s),
+        lambda i: (i >= 0) & F.coalesce(F.contains(F.get(normalised, i), wanted), F.lit(False))))
+    return bind(F.get(hits, F.lit(0)), lambda hit: F.struct(F.coalesce(hit, expected).alias("index"), hit.isNotNull().alias("verified")))
 
 
 def section_ranges(located: Column, offset: Column, last_index: Column) -> Column:
     """Sections with level, key and page ranges. Chapters end before the next entry, parts before the next part."""
     def close(e: Column, i: Column) -> Column:
         later = F.filter(F.slice(located, i + 2, F.size(located)), lambda x: (e["level"] == 2) | (x["level"] == 1))
-        end = F.when(F.size(later) > 0, F.greatest(e["at"]["index"], F.get(later, F.lit(0))["at"]["index"] - 1)).otherwise(last_index)
+        return bind(F.get(later, F.lit(0)), lambda following: describe(e, i, F.when(
+            following.isNotNull(), F.greatest(e["at"]["index"], following["at"]["index"] - 1)).otherwise(last_index)))
+
+    def describe(e: Column, i: Column, end: Column) -> Column:
         return F.struct(i.alias("pos"), e["title"].alias("title"), section_key(e["title"]).alias("key"), e["level"].alias("level"),
                         (e["at"]["index"] - offset).alias("start_page"), (end - offset).alias("end_page"),
                         e["at"]["index"].alias("start_index"), end.alias("end_index"), e["at"]["verified"].alias("verified"))
@@ -92,22 +97,21 @@ def section_ranges(located: Column, offset: Column, last_index: Column) -> Colum
 
 def parse_sections(documents: DataFrame) -> DataFrame:
     """Adds toc_start, entries, page_offset, sections and reject_reason to documents with a `pages` array."""
-    d = documents.withColumn("toc_start", find_toc_start(F.col("pages")))
-    d = d.withColumn("entries", F.when(F.col("toc_start").isNotNull(), read_toc(F.col("pages"), F.col("toc_start"))))
-    d = d.withColumn("__diffs", footer_differences(F.col("pages"))).withColumn("page_offset", most_common(F.col("__diffs")))
-    d = d.withColumn("__norm", F.transform("pages", normalise_title))
-    readable = (F.size("entries") >= V.TOC_MIN_ENTRIES) & F.col("page_offset").isNotNull()
-    d = d.withColumn("__located", F.when(readable, F.transform("entries", lambda e: F.struct(
+    c = F.col
+    d = computed(documents, toc_start=find_toc_start(c("pages")), page_offset=bind(footer_differences(c("pages")), most_common))
+    d = computed(d, entries=F.when(c("toc_start").isNotNull(), read_toc(c("pages"), c("toc_start"))))
+    readable = (F.size("entries") >= V.TOC_MIN_ENTRIES) & c("page_offset").isNotNull()
+    located = bind(F.transform("pages", normalise_title), lambda pages: F.transform("entries", lambda e: F.struct(
         e["title"].alias("title"), F.when(e["title"].rlike(V.SECTION_PREFIX), 1).otherwise(2).alias("level"),
-        locate(e["title"], e["page"] + F.col("page_offset"), F.col("__norm")).alias("at")))))
-    d = d.withColumn("sections", section_ranges(F.col("__located"), F.col("page_offset"), F.size("pages") - 1))
-    return d.withColumn("reject_reason", first_match([
-        (F.col("toc_start").isNull(), "no table of contents"), (F.size("entries") < V.TOC_MIN_ENTRIES, "contents could not be read"),
-        (F.col("page_offset").isNull(), "no printed page numbers")])).drop("__diffs", "__norm", "__located")
+        locate(e["title"], e["page"] + c("page_offset"), pages).alias("at"))))
+    sections = bind(located, lambda l: section_ranges(l, c("page_offset"), F.size("pages") - 1))
+    return computed(d, sections=F.when(readable, sections), reject_reason=first_match([
+        (c("toc_start").isNull(), "no table of contents"), (F.size("entries") < V.TOC_MIN_ENTRIES, "contents could not be read"),
+        (c("page_offset").isNull(), "no printed page numbers")]))
 
 
 def section_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.where("sections IS NOT NULL").select("doc_id", F.inline("sections"))
+    return parsed.select("doc_id", F.inline("sections"))
 
 
 def keyed_sections(sections: Column) -> Column:
@@ -127,12 +131,12 @@ def missing_sections(sections: Column) -> Column:
 
 def section_pages(parsed: DataFrame, key: str, first: int | None = None) -> DataFrame:
     """Adds `section_pages`: (printed page, clean text) of the pages of a section, all or the first few; empty without it."""
-    d = parsed.withColumn("__s", section_of(F.col("sections"), key))
+    d = computed(parsed, __s=section_of(F.col("sections"), key))
     end = F.col("__s.end_index") if first is None else F.least(F.col("__s.end_index"), F.col("__s.start_index") + first - 1)
     pages = F.transform(F.sequence(F.col("__s.start_index"), end), lambda i: F.struct(
         (i - F.col("page_offset")).alias("page"), collapse_ws(F.get("pages", i)).alias("text")))
     none = F.array().cast("array<struct<page:int,text:string>>")
-    return d.withColumn("section_pages", F.coalesce(pages, none)).drop("__s")
+    return computed(d, section_pages=F.coalesce(pages, none)).drop("__s")
 
 
 def scan_first(pages: Column, pattern: str) -> Column:
@@ -144,8 +148,8 @@ def scan_first(pages: Column, pattern: str) -> Column:
 
 def tagged_chunks(parsed: DataFrame, size: int = V.OFFER_CHUNKS[0], overlap: int = V.OFFER_CHUNKS[1]) -> DataFrame:
     """Chunks of the useful pages with their section: (doc_id, chunk_id, page, section, section_title, text)."""
-    d = parsed.where("sections IS NOT NULL").withColumn("__at", page_sections(F.size("pages"), F.col("sections")))
-    d = d.withColumn("__pages", F.filter(F.transform("pages", lambda t, i: F.struct(
+    d = computed(parsed, __at=page_sections(F.size("pages"), F.col("sections")))
+    d = computed(d, __pages=F.filter(F.transform("pages", lambda t, i: F.struct(
         i.alias("i"), F.get("sections", F.get("__at", i)).alias("s"), t.alias("text"))), lambda p: ~is_skipped_section(p["s"]["title"])))
     pieces = F.flatten(F.transform("__pages", lambda p: F.transform(split_text(p["text"], size, overlap), lambda c: F.struct(
         (p["i"] - F.col("page_offset")).alias("page"), p["s"]["key"].alias("section"), p["s"]["title"].alias("section_title"), c.alias("text")))))
@@ -155,7 +159,7 @@ def tagged_chunks(parsed: DataFrame, size: int = V.OFFER_CHUNKS[0], overlap: int
 def index_statistics(parsed: DataFrame) -> DataFrame:
     """(doc_id, chunks, skipped_pages) of the search index a document gets."""
     at = page_sections(F.size("pages"), F.col("sections"))
-    d = parsed.where("sections IS NOT NULL").withColumn("__at", at)
+    d = computed(parsed.where("sections IS NOT NULL"), __at=at)
     used = F.filter("__at", lambda i: ~is_skipped_section(F.get("sections", i)["title"]))
     pages = d.select("doc_id", (F.size("pages") - F.size(used)).cast("long").alias("skipped_pages"))
     chunks = tagged_chunks(parsed).groupBy("doc_id").agg(F.count("*").alias("chunks"))

@@ -365,6 +365,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _JSON.sub(r"get_json_object(\1, '$.\2')", text)
     text = _LINES.sub(r"(SELECT \1, \2, posexplode(split(text, '\\n')) AS (ln, line) FROM documents)", text)
     text = _MONEY.sub(r"format_number(\1, 2)", text)
+    text = text.replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)

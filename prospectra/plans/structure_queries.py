@@ -106,7 +106,7 @@ loc AS (SELECT w.*, coalesce(idx, expected) AS idx, idx IS NOT NULL AS verified,
 nx AS (SELECT *, lead(idx) OVER w AS next_any, first_value(CASE WHEN level = 1 THEN idx END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_part
    FROM loc WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 sections AS (SELECT nx.doc_id, pos, title, {SECTION_KEY_SQL.format(name='nm')} AS key, level, idx - page_offset AS start_page, e - page_offset AS end_page, idx AS start_index, e AS end_index, verified, nm, page_offset
-  FROM (SELECT nx.*, {TITLE_NAME.format(t='title')} AS nm, coalesce(greatest(idx, CASE WHEN level = 2 THEN next_any ELSE next_part END - 1), last_index) AS e,
+  FROM (SELECT nx.*, {TITLE_NAME.format(t='title')} AS nm, CASE WHEN CASE WHEN level = 2 THEN next_any ELSE next_part END IS NULL THEN last_index ELSE greatest(idx, CASE WHEN level = 2 THEN next_any ELSE next_part END - 1) END AS e
      FROM nx JOIN npages USING (doc_id)) nx),
 keyed AS (SELECT * FROM sections WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) = 1),
 secpage AS (SELECT k.doc_id, k.key, g.p - page_offset AS page, trim(regexp_replace(g.text, '\s+', ' ', 'g')) AS text, row_number() OVER (PARTITION BY k.doc_id, k.key ORDER BY g.p) AS nth
@@ -171,7 +171,7 @@ def register(r: Registry) -> None:
         r.add(name, lambda spark, sf, key=key, first=first: S.section_pages(parsed(spark, sf), key, first).select(
             "doc_id", F.inline("section_pages")), f"WITH {SECTIONS_SQL} SELECT doc_id, page, text FROM secpage WHERE key = '{key}'" + (f" AND nth <= {first}" if first else ""))
     r.add("scan_first", lambda spark, sf: S.section_pages(parsed(spark, sf), "capital_structure").select(
-        "doc_id", S.scan_first(F.col("section_pages"), V.NONE_PLEDGED).alias("h")).where("h IS NOT NULL").select("doc_id", "h.page", "h.text"), rf"""
+        "doc_id", F.inline(F.array_compact(F.array(S.scan_first(F.col("section_pages"), V.NONE_PLEDGED))))).select("doc_id", "page", "text"), rf"""
         WITH {SECTIONS_SQL}, m AS (SELECT doc_id, page, regexp_extract(text, '(?i)(none of the equity shares held by (?:our |the )?promoters?\b[^.]{{0,120}}?\b(?:is|are) pledged)', 1) AS text FROM secpage WHERE key = 'capital_structure')
         SELECT doc_id, page, text FROM m WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page) = 1""")
 
