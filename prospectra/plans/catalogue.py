@@ -6,7 +6,7 @@ import importlib
 
 from prospectra.plans.registry import Registry
 
-AREAS = ("text_queries", "chunk_queries", "search_queries", "store_queries", "ratio_queries", "statement_queries", "register_queries", "structure_queries", "score_queries")
+AREAS = ("text_queries", "chunk_queries", "search_queries", "store_queries", "ratio_queries", "statement_queries", "register_queries", "structure_queries", "score_queries", "job_queries")
 
 
 def catalogue() -> Registry:

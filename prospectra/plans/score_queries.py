@@ -232,8 +232,8 @@ def register(r: Registry) -> None:
     agents = ("risk", "financial", "business", "legal", "offer")
     r.add("list_analyses", lambda spark, sf: P.list_analyses(derived(spark, sf, "agent_results")).select(
         "doc_id", "finished_at", *[F.try_element_at("agents", F.lit(a)).alias(a) for a in agents]), f"""
-        WITH {check_sql('agent_results')}, l AS (SELECT doc_id, agent, arg_max(status, result_id) AS status, max(saved_at) AS at FROM agent_results GROUP BY ALL)
-        SELECT doc_id, max(at) AS finished_at, {', '.join(f"max(status) FILTER (agent = '{a}') AS {a}" for a in agents)} FROM l GROUP BY doc_id""")
+        WITH {check_sql('agent_results')}, l AS (SELECT doc_id, agent, arg_max(status, result_id) AS status, max(saved_at) AS done_at FROM agent_results GROUP BY ALL)
+        SELECT doc_id, max(done_at) AS finished_at, {', '.join(f"max(status) FILTER (agent = '{a}') AS {a}" for a in agents)} FROM l GROUP BY doc_id""")
 
     def view(spark, sf):
         p = parsed(spark, sf)
