@@ -40,18 +40,12 @@ def grouped(value: Column, digits: int) -> Column:
 def general(value: Column) -> Column:
     """Six significant digits without trailing zeros."""
     value = value.cast("double")
-
-    def pattern(text: str) -> Column:
-        return F.call_function("format_number", value, F.lit(text))
-
     size = F.abs(value)
-    rules = [(size >= 999999.5, F.regexp_replace(pattern("0.#####E00"), "E", "e+"))]
-    for digits, limit in enumerate((99999.5, 9999.95, 999.995, 99.9995, 9.99995)):
-        rules.append((size >= limit, pattern("0" if digits == 0 else "0." + "#" * digits)))
-    for digits, limit in ((5, 0.9999995), (6, 0.09999995), (7, 0.009999995), (8, 0.0009999995), (9, 0.0001)):
-        rules.append((size >= limit, pattern("0." + "#" * digits)))
-    rules.append((value == 0, F.lit("0")))
-    return first_match(rules, F.regexp_replace(F.regexp_replace(pattern("0.#####E00"), "E-", "e-"), "E", "e+"))
+    digits = F.greatest(F.lit(0), F.least(F.lit(9), 5 - F.floor(F.coalesce(F.log10(size), F.lit(0.0))))).cast("int")
+    plain = F.regexp_replace(F.call_function("format_number", value, digits), ",", "")
+    trimmed = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    large = F.regexp_replace(F.call_function("format_number", value, F.lit("0.#####E00")), "E", "e+")
+    return F.when(size >= 999999.5, large).otherwise(trimmed)
 
 
 def exact_round(value: Column, digits: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prospectra.functions import fixed_values as V
 from prospectra.operators import chunking, classify
 from prospectra.plans.inputs import check_sql, derived, spread, table
-from prospectra.plans.registry import Registry
+from prospectra.plans.registry import Registry, shared
 
 # pages of four lines
 PAGES_SQL = """doc_pages AS (SELECT doc_id, page, array_to_string(l[(page - 1) * 4 + 1 : page * 4], chr(10)) AS text
@@ -45,10 +45,12 @@ def chunks_sql(name: str, size: int, overlap: int) -> str:
    CAST(page AS INT) AS page, text FROM {name}_flat WHERE text <> '')"""
 
 
+@shared
 def document_pages(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", chunking.pages_of_lines(F.col("text")).alias("pages"))
 
 
+@shared
 def document_chunks(spark, sf, size=V.GENERAL_CHUNKS[0], overlap=V.GENERAL_CHUNKS[1]):
     return chunking.chunk_pages(document_pages(spark, sf), size, overlap)
 

@@ -8,7 +8,9 @@ from prospectra.functions import fixed_values as V
 from prospectra.operators import accuracy as A
 from prospectra.plans.inputs import check_sql, derived, table
 from prospectra.plans.registry import Registry
+from prospectra.plans.structure_queries import packed_sql
 from prospectra.streaming import ingest, jobs as J
+from prospectra.streaming.replay import file_stream, replay, work_dir
 
 STATUS_SQL = "CASE event WHEN 'started' THEN 'running' WHEN 'progress' THEN 'running' WHEN 'waiting' THEN 'running' WHEN 'done' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'running' END"
 
@@ -41,21 +43,41 @@ def register(r: Registry) -> None:
         WITH {check_sql('job_events')}, {jobs_sql}
         SELECT job_id, coalesce(count(*) FILTER (job_status = 'queued') OVER (ORDER BY created_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS queue_position FROM jobs""")
 
-    # the streaming deduplication keeps, over a finished replay, what the batch query keeps
+    # streams replayed over the stored files
     def submissions(spark, sf):
-        e = derived(spark, sf, "job_events").select(F.col("job_id").alias("doc_id"), "ts", "event_id")
-        return J.dedupe_submissions(e, "10 minutes").groupBy("doc_id").agg(F.count("*").alias("queued"))
+        events = file_stream(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "ts", "event_id")
+        return replay(J.dedupe_submissions(events)).select("doc_id")
 
     r.add("dedupe_submissions", submissions)
 
-    # ingest twice: labelled documents arrive again in capitals and replace their chunks
-    def replayed(spark, sf):
-        d = table(spark, sf, "documents").select(F.col("source").alias("domain"), F.col("doc_id").cast("string").alias("filename"), "doc_id", "text")
-        again = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.upper("text"))
-        sent = d.withColumn("arrival", F.lit(1).cast("long")).unionByName(again.withColumn("arrival", F.lit(2).cast("long")))
-        return ingest.ingest_chunks(sent).select("domain", "filename", "chunk_id", F.length("text").alias("chars"))
+    def usage_stream(spark, sf):
+        events = file_stream(spark, sf, "events").select("ts", F.col("event_type").alias("model"), F.floor(F.col("value") * 60).cast("long").alias("tokens"),
+                                                         F.floor(F.col("value") * 8).cast("long").alias("output_tokens"))
+        flat = J.stream_usage(events).select(F.col("window.start").alias("start"), "model", "used", "used_output")
+        return replay(flat).select("model", F.unix_seconds("start").alias("start"), "used", "used_output")
 
-    r.add("ingest_chunks", replayed)
+    r.add("stream_usage", usage_stream)
+
+    # every document arrives, the labelled ones again in capitals; the later arrival replaces the earlier
+    def arrivals(documents, labels):
+        d = documents.select(F.col("source").alias("domain"), F.col("doc_id").cast("string").alias("filename"), "doc_id", "text")
+        again = d.join(labels.select("doc_id"), "doc_id", "left_semi").withColumn("text", F.upper("text"))
+        return (d.withColumn("arrival", F.lit(1).cast("long")).unionByName(again.withColumn("arrival", F.lit(2).cast("long")))
+                .drop("doc_id"))
+
+    def ingested(spark, sf):
+        folder = work_dir(spark)
+        stream = arrivals(file_stream(spark, sf, "documents"), table(spark, sf, "labels"))
+        ingest.stream_ingest(stream, f"{folder}/chunks", f"{folder}/state").awaitTermination()
+        return ingest.current_chunks(spark, f"{folder}/chunks").select("domain", "filename", "chunk_id", F.length("text").alias("chars"))
+
+    final = f"""WITH docs AS (SELECT source AS domain, CAST(doc_id AS VARCHAR) AS filename, CASE WHEN doc_id IN (SELECT doc_id FROM labels)
+          THEN replace(upper(text), 'ẞ', 'SS') ELSE text END AS text FROM documents), {packed_sql('docs', *V.GENERAL_CHUNKS)},
+        fl AS (SELECT domain, filename, unnest(range(len(out))) AS i, regexp_replace(unnest(out), '^\\s+|\\s+$', '', 'g') AS text FROM pk)
+        SELECT domain, filename, CAST(row_number() OVER (PARTITION BY domain, filename ORDER BY i) - 1 AS INT) AS chunk_id, CAST(length(text) AS INT) AS chars FROM fl WHERE text <> ''"""
+    r.add("ingest_chunks", lambda spark, sf: ingest.ingest_chunks(arrivals(table(spark, sf, "documents"), table(spark, sf, "labels"))).select(
+        "domain", "filename", "chunk_id", F.length("text").alias("chars")), final)
+    r.add("stream_ingest", ingested, final)
 
     # accuracy: expected revenue per nation against saved values that drift by up to 0.4 %
     def facts(spark, sf):

@@ -9,9 +9,10 @@ from prospectra.functions.columns import exact_round, grade
 from prospectra.operators import ratios as R
 from prospectra.operators import statements as S
 from prospectra.plans.inputs import FIN_ITEMS, check_sql, derived
-from prospectra.plans.registry import Registry
+from prospectra.plans.registry import Registry, shared
 
 
+@shared
 def facts(spark, sf):
     """Long facts; items a period lacks are absent."""
     wide = derived(spark, sf, "fin_wide")
@@ -19,10 +20,12 @@ def facts(spark, sf):
             .where("value IS NOT NULL"))
 
 
+@shared
 def periods(spark, sf):
     return derived(spark, sf, "fin_wide").select("doc_id", "period", "full_year", "y", "m")
 
 
+@shared
 def profiles(spark, sf):
     return R.profile(facts(spark, sf), periods(spark, sf))
 

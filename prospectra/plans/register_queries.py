@@ -14,12 +14,13 @@ from prospectra.operators import statements as S
 from prospectra.operators.ordered import id_bucket, position
 from prospectra.plans.inputs import check_sql, derived, table
 from prospectra.plans.ratio_queries import facts, periods
-from prospectra.plans.registry import Registry
+from prospectra.plans.registry import Registry, shared
 
 # ------------------------------------------------------------------ risk register
 ON = ["item_id"]
 
 
+@shared
 def headings(spark, sf):
     """Documents as numbered headings; a source is a prospectus."""
     d = table(spark, sf, "documents").select(
@@ -28,10 +29,12 @@ def headings(spark, sf):
     return numbered.withColumn("page", (F.col("number") + 20).cast("int"))
 
 
+@shared
 def register_of(spark, sf):
     return R.build_register(headings(spark, sf), derived(spark, sf, "risk_answers"), ON)
 
 
+@shared
 def ranked_register(spark, sf):
     return R.rank_register(register_of(spark, sf))
 
@@ -62,18 +65,22 @@ counts AS (SELECT doc_id, count(*) AS total, {', '.join(f"count(*) FILTER (score
 SHOWN = F.sequence(F.lit(300), F.lit(307))
 
 
+@shared
 def records(spark, sf):
     return L.case_records(derived(spark, sf, "cases"), SHOWN)
 
 
+@shared
 def marked_cases(spark, sf):
     return L.mark_totals(L.dedupe_cases(records(spark, sf)))
 
 
+@shared
 def issuer_worth(spark, sf):
     return S.net_worth(facts(spark, sf), periods(spark, sf))
 
 
+@shared
 def legal_summary(spark, sf):
     return L.case_summary(marked_cases(spark, sf), issuer_worth(spark, sf))
 
@@ -118,6 +125,7 @@ lflags AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o
 PCT = "CASE WHEN {b} <> 0 THEN CAST(printf('%.1f', {a} / {b} * 100) AS DOUBLE) + 0.0 END"
 
 
+@shared
 def metrics(spark, sf):
     return O.offer_metrics(derived(spark, sf, "offers"), derived(spark, sf, "objects"))
 

@@ -11,7 +11,7 @@ from prospectra.operators.report import FACT_TEXT as FT
 from prospectra.plans import register_queries as Q
 from prospectra.plans.inputs import check_sql, derived, table
 from prospectra.plans.ratio_queries import FLAGS_SQL, SCORECARD_SQL, profiles
-from prospectra.plans.registry import Registry
+from prospectra.plans.registry import Registry, shared
 from prospectra.plans.structure_queries import SECTIONS_SQL, parsed
 from prospectra.operators import structure as S
 
@@ -20,14 +20,17 @@ def issuers(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"))
 
 
+@shared
 def risk_status(spark, sf):
     return G.risk_counts(Q.register_of(spark, sf)).withColumn("status", F.when(F.col("doc_id") % 6 == 5, "failed").otherwise("done"))
 
 
+@shared
 def legal_flag_rows(spark, sf):
     return L.legal_flags(Q.legal_summary(spark, sf), derived(spark, sf, "approvals"))
 
 
+@shared
 def part(name, spark, sf):
     docs = issuers(spark, sf)
     if name == "financial":
@@ -43,6 +46,7 @@ def part(name, spark, sf):
     return B.score_offer(docs, m, O.offer_flags(m))
 
 
+@shared
 def all_parts(spark, sf):
     parts = [part(name, spark, sf) for name, _, _ in V.PARTS]
     out = parts[0]
@@ -51,6 +55,7 @@ def all_parts(spark, sf):
     return out
 
 
+@shared
 def scores(spark, sf):
     return B.total_score(all_parts(spark, sf), legal_flag_rows(spark, sf))
 
@@ -135,6 +140,7 @@ final AS (SELECT doc_id, score, CASE WHEN score >= 65 AND len(k) = 0 THEN 'Leans
 
 
 # ------------------------------------------------------------------ facts
+@shared
 def fact_sources(spark, sf):
     p = profiles(spark, sf)
     docs = issuers(spark, sf)
@@ -166,6 +172,7 @@ def fact_sources(spark, sf):
     return [r.join(docs, "doc_id", "left_semi") for r in rows]
 
 
+@shared
 def facts_of(spark, sf):
     return P.collect_facts(fact_sources(spark, sf))
 

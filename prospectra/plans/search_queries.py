@@ -8,7 +8,7 @@ from prospectra.functions import fixed_values as V
 from prospectra.operators import retrieval as R
 from prospectra.plans.chunk_queries import chunks_sql, document_chunks
 from prospectra.plans.inputs import table
-from prospectra.plans.registry import Registry
+from prospectra.plans.registry import Registry, shared
 from prospectra.plans.text_queries import TOKENS_SQL
 
 
@@ -20,15 +20,18 @@ def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+@shared
 def passages(spark, sf):
     return document_chunks(spark, sf)
 
 
+@shared
 def vector_questions(spark, sf):
     return questions(spark, sf).join(vectors(spark, sf).select(
         F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("section")), "query_id")
 
 
+@shared
 def vector_index(spark, sf):
     """Documents that have a vector; the label plays the section."""
     return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text").join(

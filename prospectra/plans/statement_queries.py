@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 from prospectra.functions.text import detect_unit
 from prospectra.operators import statements as S
 from prospectra.plans.inputs import check_sql, derived
-from prospectra.plans.registry import Registry
+from prospectra.plans.registry import Registry, shared
 from prospectra.plans.text_queries import CLEAN_SQL, MATCH_ITEM_SQL, MONTHS_RE, PARSE_VALUE_SQL
 
 
+@shared
 def statement_pages(spark, sf):
     return S.statement_of_page(derived(spark, sf, "statement_pages"))
 
 
+@shared
 def tables_read(spark, sf):
     return S.read_tables(derived(spark, sf, "cells"))
 
 
+@shared
 def issuer_units(spark, sf):
     pages = derived(spark, sf, "statement_pages").groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("page", "text")))["text"], " ").alias("t"))

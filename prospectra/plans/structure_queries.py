@@ -8,7 +8,7 @@ from prospectra.functions import fixed_values as V
 from prospectra.operators import chunking, evidence as E, structure as S
 from prospectra.plans.chunk_queries import PAGES_SQL, _atoms_sql, document_pages  # noqa: F401
 from prospectra.plans.inputs import check_sql, derived, table
-from prospectra.plans.registry import Registry
+from prospectra.plans.registry import Registry, shared
 from prospectra.plans.text_queries import SECTION_KEY_SQL
 
 TITLES = ("SECTION I – GENERAL", "DEFINITIONS AND ABBREVIATIONS", "SECTION II: RISK FACTORS", "SUMMARY OF FINANCIAL INFORMATION",
@@ -58,12 +58,14 @@ LINE_TEXT = """CASE j % 8 WHEN 0 THEN CAST(1 + (j DIV 8) * (1 + doc_id % 4) AS S
 LINE_BOLD = "(j % 8 IN (0, 1, 4, 5, 7) OR (j % 8 = 2 AND doc_id % 2 = 0))"
 
 
+@shared
 def prospectuses(spark, sf):
     """One row per supplier with its page texts in order."""
     return table(spark, sf, "supplier").selectExpr("s_suppkey AS doc_id").selectExpr(
         "doc_id", f"transform(sequence(0, 43 + CAST(doc_id % 3 AS INT)), p -> {PAGE_TEXT}) AS pages")
 
 
+@shared
 def parsed(spark, sf):
     return S.parse_sections(prospectuses(spark, sf))
 
@@ -142,6 +144,7 @@ risks AS (WITH RECURSIVE w AS (
     min(r.page) FILTER (started) AS page, arg_min(grp, w.j) AS grp FROM w JOIN rl r ON r.doc_id = w.doc_id AND r.j = w.j WHERE started OR more GROUP BY w.doc_id, w.last)"""
 
 
+@shared
 def risk_lines(spark, sf):
     text, bold = LINE_TEXT, LINE_BOLD
     return table(spark, sf, "supplier").selectExpr("s_suppkey AS doc_id").selectExpr(

@@ -13,21 +13,17 @@ from pyspark.sql.streaming import StreamingQuery
 from prospectra.functions import fixed_values as V
 from prospectra.operators.chunking import chunk_pages
 
-DOCUMENTS = "domain STRING, filename STRING, text STRING, arrival LONG"
-
-
 def ingest_chunks(documents: DataFrame) -> DataFrame:
     """Chunks of a batch of documents; a document sent twice in one batch counts once, the later arrival."""
     newest = documents.groupBy("domain", "filename").agg(F.max_by("text", "arrival").alias("text"))
     return chunk_pages(newest.select("domain", "filename", F.array("text").alias("pages")), *V.GENERAL_CHUNKS)
 
 
-def stream_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Reads parquet documents arriving below `source` and appends their chunks below `sink`."""
+def stream_ingest(arriving: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Chunks a stream of documents (domain, filename, text, arrival) into `sink` until no input is left."""
     def write(batch: DataFrame, batch_id: int) -> None:
         ingest_chunks(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    arriving = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", 64).parquet(source)
     return (arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
