@@ -14,10 +14,10 @@ from pyspark.sql import SparkSession  # noqa: E402
 from prospectra.plans.catalogue import catalogue  # noqa: E402
 
 HEADLINE = (
-    "chunk_pages", "classify_by_keywords", "tokenise", "bm25_search", "answer_citations", "knn_l2", "hybrid_search",
+    "chunk_pages", "classify_by_keywords", "tokenise", "bm25_search", "knn_l2", "hybrid_search",
     "scorecard", "financial_flags", "assemble_items", "section_ranges", "rank_register", "fewest_batches",
     "unsupported_figures", "case_summary", "offer_metrics", "merge_page_blocks", "trailing_usage", "total_and_rating",
-    "collect_facts", "upsert_documents",
+    "upsert_documents",
 )
 
 
@@ -34,7 +34,7 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(2):
+        while len(runs) < 2 and sum(runs) < 6:      # a second, warm run for the short ones
             start = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)

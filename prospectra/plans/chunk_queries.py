@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
 from prospectra.operators import chunking, classify
-from prospectra.plans.inputs import check_sql, derived, spread, table
+from prospectra.plans.inputs import check_sql, derived, spread, spread_derived, table
 from prospectra.plans.registry import Registry, shared
 
 # pages of four lines
@@ -74,7 +74,7 @@ def register(r: Registry) -> None:
         c AS (SELECT doc_id, i, regexp_replace(text[i * 450 + 1 : i * 450 + 500], '^\\s+|\\s+$', '', 'g') AS text FROM w)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_id, text FROM c WHERE text <> ''""")
 
-    r.add("classify_by_keywords", lambda spark, sf: derived(spark, sf, "domain_texts").select(
+    r.add("classify_by_keywords", lambda spark, sf: spread_derived(spark, sf, "domain_texts", "documents", "doc_id").select(
         "doc_id", *[s.alias(d) for d, s in classify.domain_scores(F.col("text")).items()]).select(
         "*", classify.best_domain({d: F.col(d) for d in V.DOMAINS}).alias("domain")), f"""
         WITH {check_sql('domain_texts')}, {SCORES_SQL.format(source='domain_texts')}
@@ -90,7 +90,7 @@ def register(r: Registry) -> None:
         SELECT doc_id, CASE WHEN len(n) = 1 THEN n[1] END AS domain FROM named""")
 
     def resolved(spark, sf):
-        texts = derived(spark, sf, "domain_texts").select("doc_id", F.substring("text", 1, V.CLASSIFY_SAMPLE_CHARS).alias("sample"))
+        texts = spread_derived(spark, sf, "domain_texts", "documents", "doc_id").select("doc_id", F.substring("text", 1, V.CLASSIFY_SAMPLE_CHARS).alias("sample"))
         scores = classify.domain_scores(F.col("sample"))
         scored = texts.select("doc_id", *[s.alias(d) for d, s in scores.items()])
         by_keywords = classify.best_domain({d: F.col(d) for d in V.DOMAINS})

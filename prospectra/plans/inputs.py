@@ -379,6 +379,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(cores, *keys)
 
 
+@shared
+def spread_derived(spark: SparkSession, sf_dir: str, name: str, base: str, key: str) -> DataFrame:
+    """A row-by-row derived table, spread by key when the scan of its base table has fewer splits than cores."""
+    cores = spark.sparkContext.defaultParallelism
+    df = derived(spark, sf_dir, name)
+    return df if table(spark, sf_dir, base).rdd.getNumPartitions() > 2 * cores else df.repartition(cores, key)
+
+
 @shared
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame."""

@@ -12,7 +12,7 @@ from prospectra.operators import offer as O
 from prospectra.operators import register as R
 from prospectra.operators import statements as S
 from prospectra.operators.ordered import id_bucket, position
-from prospectra.plans.inputs import check_sql, derived, table
+from prospectra.plans.inputs import check_sql, derived, spread, spread_derived, table
 from prospectra.plans.ratio_queries import facts, periods
 from prospectra.plans.registry import Registry, shared
 
@@ -23,7 +23,7 @@ ON = ["item_id"]
 @shared
 def headings(spark, sf):
     """Documents as numbered headings; a source is a prospectus."""
-    d = table(spark, sf, "documents").select(
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").select(
         F.substring("source", F.lit(4), F.lit(9)).cast("long").alias("doc_id"), F.col("doc_id").alias("item_id"), "text")
     numbered = position(d, ["doc_id"], [id_bucket(F.col("item_id"))], [F.col("item_id")], "number")
     return numbered.withColumn("page", (F.col("number") + 20).cast("int"))
@@ -67,7 +67,7 @@ SHOWN = F.sequence(F.lit(300), F.lit(307))
 
 @shared
 def records(spark, sf):
-    return L.case_records(derived(spark, sf, "cases"), SHOWN)
+    return L.case_records(spread_derived(spark, sf, "cases", "events", "ord"), SHOWN)
 
 
 @shared

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prospectra.functions import fixed_values as V
 from prospectra.operators import chunking, evidence as E, structure as S
 from prospectra.plans.chunk_queries import PAGES_SQL, _atoms_sql, document_pages  # noqa: F401
-from prospectra.plans.inputs import check_sql, derived, table
+from prospectra.plans.inputs import check_sql, derived, spread, table
 from prospectra.plans.registry import Registry, shared
 from prospectra.plans.text_queries import SECTION_KEY_SQL
 
@@ -61,7 +61,7 @@ LINE_BOLD = "(j % 8 IN (0, 1, 4, 5, 7) OR (j % 8 = 2 AND doc_id % 2 = 0))"
 @shared
 def prospectuses(spark, sf):
     """One row per supplier with its page texts in order."""
-    return table(spark, sf, "supplier").selectExpr("s_suppkey AS doc_id").selectExpr(
+    return spread(table(spark, sf, "supplier").selectExpr("s_suppkey AS doc_id"), "doc_id").selectExpr(
         "doc_id", f"transform(sequence(0, 43 + CAST(doc_id % 3 AS INT)), p -> {PAGE_TEXT}) AS pages")
 
 
