@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from prospectra.llm import packing
+from prospectra.llm import decontamination, packing
 from prospectra.plans.registry import Registry
 
 
 def register(registry: Registry) -> None:
+    registry.add("op2_decontamination", decontamination.op2_decontamination, decontamination.OP2_SQL)
     registry.add("op10_packing", packing.op10_packing)
