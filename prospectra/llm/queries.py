@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from prospectra.llm import decontamination, packing, secrets
+from prospectra.llm import decontamination, packing, secrets, simhash
 from prospectra.plans.registry import Registry
 
 
 def register(registry: Registry) -> None:
     registry.add("op1_secret_scan", secrets.op1_secret_scan)
     registry.add("op2_decontamination", decontamination.op2_decontamination, decontamination.OP2_SQL)
+    registry.add("op4_simhash", simhash.op4_simhash)
     registry.add("op10_packing", packing.op10_packing)
