@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prospectra.llm import decontamination, packing, quality, secrets, simhash
+from prospectra.llm import decontamination, packing, quality, secrets, sharding, simhash
 from prospectra.plans.registry import Registry
 
 
@@ -10,5 +10,6 @@ def register(registry: Registry) -> None:
     registry.add("op1_secret_scan", secrets.op1_secret_scan)
     registry.add("op2_decontamination", decontamination.op2_decontamination, decontamination.OP2_SQL)
     registry.add("op4_simhash", simhash.op4_simhash)
+    registry.add("op5_sharding", sharding.op5_sharding)
     registry.add("op7_quality", quality.op7_quality)
     registry.add("op10_packing", packing.op10_packing)
