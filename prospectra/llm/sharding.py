@@ -33,7 +33,7 @@ def propagate(linked: DataFrame, capacity: int, shards: int) -> DataFrame:
     total = linked.count()
     for turn in range(ROUNDS):
         held = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        wish = held.groupBy("group").agg(F.max_by("shard", F.struct("n", F.xxhash64("group", "shard"))).alias("wish"))
+        wish = written(held.groupBy("group").agg(F.max_by("shard", F.struct("n", F.xxhash64("group", "shard"))).alias("wish")))
         asked = written(linked.join(wish, "group"))
         moves = {(r["shard"], r["wish"]): r["count"] for r in asked.where("shard <> wish").groupBy("shard", "wish").count().collect()}
         size = shard_counts(linked, shards)
@@ -62,7 +62,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ).withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")))
     total = base.count()
     capacity = total // shards
-    groups = base.groupBy("group").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    # Written, so that the join is of two plain tables and Spark can split a hot group's rows.
+    groups = written(base.groupBy("group").agg(F.count("*").alias("group_size")).where("group_size > 1"))
     # A group that no shard can hold is cut beforehand into as few parts as fit, by a hash of the row.
     cuts = F.ceil(F.col("group_size") / F.lit(max(1, capacity * 3 // 4)))
     part = F.when(cuts > 1, F.xxhash64("group", F.pmod(F.xxhash64("row", F.lit("part")), cuts))).otherwise(F.col("group"))
