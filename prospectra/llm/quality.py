@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from prospectra.llm.common import WORD_BYTES, attach, read, small_batches, text_bytes, written
 
-TRAINING_ROWS = 12_000      # labelled rows that the text model is fitted on, about (a hash of doc_id picks them)
+TRAINING_ROWS = 8_000      # labelled rows that the text model is fitted on, about (a hash of doc_id picks them)
 LEAST_DOCS, LEAST_Z, LEAST_LIFT = 5, 5.0, 5.0     # a word counts if so many rows have it and the classes differ that clearly
 STEPS, RATE, RIDGE = 300, 0.1, 1e-5
 STEMS = (4, 5, 6)           # bytes of word beginnings that are evidence besides whole words
