@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from prospectra.llm import decontamination, packing, quality, secrets, sharding, simhash
+from prospectra.llm import chat, decontamination, packing, quality, secrets, sharding, simhash
 from prospectra.plans.registry import Registry
 
 
 def register(registry: Registry) -> None:
     registry.add("op1_secret_scan", secrets.op1_secret_scan)
     registry.add("op2_decontamination", decontamination.op2_decontamination, decontamination.OP2_SQL)
+    registry.add("op3_chat_format", chat.op3_chat_format, chat.OP3_SQL)
     registry.add("op4_simhash", simhash.op4_simhash)
     registry.add("op5_sharding", sharding.op5_sharding)
     registry.add("op7_quality", quality.op7_quality)
