@@ -36,6 +36,7 @@ WORD_BUCKETS = 512
 TRAINING_DOCS = 20_000                  # documents that the field is fitted on, about (a hash of doc_id picks them)
 SURE = 0.9                              # posterior from which a span is added
 ROUNDS, DAMPING = 12, 0.3
+REPEATED = ((1, 3.0), (2, 1.5))         # least log potential of equal labels by type of skip edge, and most of unequal ones, negated
 OBSERVED = 12.0                         # log potential of a label that a pattern has confirmed
 
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("added", T.BooleanType())]))
@@ -124,13 +125,18 @@ def nodes_of(text: str, base: list[tuple[str, int, int]]) -> list[Node]:
 
 
 def edges_of(nodes: list[Node]) -> list[tuple[int, int, int]]:
-    """(i, j, type): 0 joins neighbours of the chain, 1 joins a node with the last one before it that has a common key."""
+    """(i, j, type): 0 joins neighbours of the chain; a node is joined with the last one before it that has a common key, by 1
+    if that is the whole number, address or handle, by 2 if it is the end of a number."""
     out, last = [], {}
     for j, node in enumerate(nodes):
         if j and node.start - nodes[j - 1].end <= NEAR:
             out.append((j - 1, j, 0))
-        for i in sorted({last[k] for k in node.keys if k in last}):
-            out.append((i, j, 1))
+        joined = {}
+        for k in node.keys:
+            if k in last:
+                same = k[:1] == "@" or k == node.keys[0] == nodes[last[k]].keys[0]
+                joined[last[k]] = min(joined.get(last[k], 2), 1 if same else 2)
+        out += [(i, j, kind) for i, kind in sorted(joined.items())]
         last.update(dict.fromkeys(node.keys, j))
     return out
 
@@ -164,9 +170,9 @@ def fit_field(nodes: list[tuple[int, tuple[int, ...]]], pairs: np.ndarray) -> Fi
     together = smooth / smooth.sum((1, 2), keepdims=True)
     chance = together.sum(2)[:, :, None] * together.sum(1)[:, None, :]
     potentials = np.clip(np.log(together / chance), -2.0, 2.0)
-    # Repeats of one thing agree: at least this much, even where the sample has no repeat.
-    potentials[1] = np.maximum(potentials[1], np.where(np.eye(k, dtype=bool), 1.5, -2.0))
-    potentials[1][0, 1:] = potentials[1][1:, 0] = -2.0
+    # Repeats of one thing agree: at least this much, even where the sample has few repeats.
+    for kind, least in REPEATED:
+        potentials[kind] = np.where(np.eye(k, dtype=bool), np.maximum(potentials[kind], least), -least)
     return Field(unary, potentials)
 
 
@@ -219,11 +225,11 @@ def fit(docs: DataFrame) -> Field:
     nodes = sample.select(F.explode("t.nodes").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").limit(TRAINING_DOCS).collect()
     edges = sample.select(F.explode("t.pairs").alias("p")).groupBy("p").count().collect()
     k = len(LABELS)
-    pairs = np.zeros(2 * k * k)
+    pairs = np.zeros(3 * k * k)
     for row in edges:
         pairs[row["p"]] += row["count"]
     repeated = [(r["n"][0], tuple(r["n"][1:])) for r in nodes for _ in range(min(r["count"], 50))]
-    return fit_field(repeated, pairs.reshape(2, k, k))
+    return fit_field(repeated, pairs.reshape(3, k, k))
 
 
 def label_texts(field: Broadcast):
