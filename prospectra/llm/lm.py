@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prospectra.llm.common import read, small_batches, words_of, written
 
@@ -28,7 +30,23 @@ TOKENS, UNIGRAMS = -1, -2       # cells of the rows that hold a chunk's tokens a
 
 
 def packed(values: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(values, kind).tobytes()
+    """Numbers as compressed bytes: all lowest bytes first, then all next ones."""
+    flat = np.ascontiguousarray(values, kind)
+    return zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending pairs as differences."""
+    return packed(np.diff(keys, prepend=np.uint32(0)), "<u4")
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u4"), dtype=np.uint32)
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,53 +93,59 @@ def by_cell(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, held, np.append(begins, len(keys))
 
 
-def encode(words: dict[bytes, int]):
-    """Chunks of documents: one row with their tokens, one for the target's word counts, and one per cell with the chunk's
-    distinct pairs and how often the corpus and the target have them."""
+def encoded(words: dict[bytes, int]):
+    """Word ids of a text, two bytes each."""
 
-    def chunk_rows(chunk: int, ids: list, docs: list[np.ndarray], wanted: list[bool]) -> pd.DataFrame:
-        lengths = np.array([len(d) for d in docs], np.int64)
-        tokens = np.concatenate([*docs, np.zeros(0, np.uint16)])
-        target = np.repeat(np.array(wanted, bool), lengths)
-        pairs = pairs_of(tokens, lengths)
-        keys, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        in_target = np.bincount(inverse, weights=target, minlength=len(keys))
-        order, cells, begins = by_cell(keys)
-        held = np.bincount(tokens[target], minlength=1)
-        known = np.array([i is not None for i in ids], bool)
-        rows = [(chunk, TOKENS, packed([i or 0 for i in ids], "<i8") + known.tobytes(), packed(lengths, "<i8"), packed(tokens, "<u2"), [], []),
-                (chunk, UNIGRAMS, None, None, None, np.flatnonzero(held).tolist(), held[held > 0].tolist())]
-        for cell, a, b in zip(cells.tolist(), begins[:-1], begins[1:]):
-            own = order[a:b]
-            rows.append((chunk, cell, packed(keys[own], "<u4"), packed(counts[own], "<i8"), packed(in_target[own], "<i8"), [], []))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PARTS.split(", ")])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk = TaskContext.get().partitionId() << 24
-        ids, docs, wanted, size = [], [], [], 0
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = words.get
-        for batch in batches:
-            for doc_id, text, target in zip(batch["doc_id"], batch["text"], batch["target"]):
-                own = words_of(text)
-                docs.append(np.fromiter((known(w, 0) for w in own), np.uint16, len(own)))
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                wanted.append(bool(target))
-                size += len(own)
-                if size >= CHUNK_WORDS or len(ids) >= CHUNK_WORDS:
-                    yield chunk_rows(chunk, ids, docs, wanted)
-                    chunk, ids, docs, wanted, size = chunk + 1, [], [], [], 0
-        if ids:
-            yield chunk_rows(chunk, ids, docs, wanted)
-
-    return run
+        for batch in texts:
+            yield pd.Series([np.fromiter((known(w, 0) for w in own), "<u2", len(own)).tobytes() for own in map(words_of, batch)])
+
+    return F.pandas_udf(encode, T.BinaryType())
+
+
+def chunk_rows(chunk: int, ids: list, docs: list[bytes], wanted: list[bool]) -> pd.DataFrame:
+    """One row with the chunk's tokens, one with the target's word counts, and one per cell with the chunk's distinct pairs and
+    how often corpus and target have them."""
+    lengths = np.array([len(d) // 2 for d in docs], np.int64)
+    tokens = np.frombuffer(b"".join(docs), "<u2")
+    target = np.repeat(np.array(wanted, bool), lengths)
+    keys, inverse, counts = np.unique(pairs_of(tokens, lengths), return_inverse=True, return_counts=True)
+    in_target = np.bincount(inverse, weights=target, minlength=len(keys))
+    order, cells, begins = by_cell(keys)
+    held = np.bincount(tokens[target], minlength=1)
+    known = np.array([i is not None for i in ids], np.int64)
+    rows = [(chunk, TOKENS, packed(np.concatenate([known, [i or 0 for i in ids]]), "<i8"), packed(lengths, "<i8"), packed(tokens, "<u2"), [], []),
+            (chunk, UNIGRAMS, None, None, None, np.flatnonzero(held).tolist(), held[held > 0].tolist())]
+    for cell, a, b in zip(cells.tolist(), begins[:-1], begins[1:]):
+        own = order[a:b]
+        rows.append((chunk, cell, packed_keys(keys[own]), packed(counts[own], "<i8"), packed(in_target[own], "<i8"), [], []))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PARTS.split(", ")])
+
+
+def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of chunks of a partition's documents."""
+    chunk = TaskContext.get().partitionId() << 24
+    ids, docs, wanted, size = [], [], [], 0
+    for batch in batches:
+        for doc_id, tokens, target in zip(batch["doc_id"], batch["tokens"], batch["target"]):
+            docs.append(tokens)
+            ids.append(None if pd.isna(doc_id) else int(doc_id))
+            wanted.append(target is not None and bool(target))
+            size += len(tokens) // 2
+            if size >= CHUNK_WORDS or len(ids) >= CHUNK_WORDS:
+                yield chunk_rows(chunk, ids, docs, wanted)
+                chunk, ids, docs, wanted, size = chunk + 1, [], [], [], 0
+    if ids:
+        yield chunk_rows(chunk, ids, docs, wanted)
 
 
 def merge_cells(group: pd.DataFrame) -> pd.DataFrame:
     """Sums a cell's counts over some chunks."""
-    keys = np.concatenate([np.frombuffer(x, "<u4") for x in group["a"]])
+    keys = np.concatenate([unpacked_keys(x) for x in group["a"]])
     distinct, inverse = np.unique(keys, return_inverse=True)
-    sums = [np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<i8") for x in group[c]]), minlength=len(distinct)) for c in ("b", "c")]
-    return pd.DataFrame({"cell": group["cell"].iloc[:1], "part": group["part"].iloc[:1], "a": [packed(distinct, "<u4")], "b": [packed(sums[0], "<i8")], "c": [packed(sums[1], "<i8")]})
+    sums = [np.bincount(inverse, weights=np.concatenate([unpacked(x, "<i8") for x in group[c]]), minlength=len(distinct)) for c in ("b", "c")]
+    return pd.DataFrame({"cell": group["cell"].iloc[:1], "part": group["part"].iloc[:1], "a": [packed_keys(distinct)], "b": [packed(sums[0], "<i8")], "c": [packed(sums[1], "<i8")]})
 
 
 def merged(parts: DataFrame, chunks: int) -> DataFrame:
@@ -134,53 +158,55 @@ def merged(parts: DataFrame, chunks: int) -> DataFrame:
             return rows.drop("part")
 
 
-def losses(keys: np.ndarray, counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """Loss of each pair of a cell in SCALE parts of a bit: absolute discounting, interpolated with the unigram model.
-    keys ascend and are all pairs of their first words that either model has seen."""
-    first = keys >> np.uint32(16)
-    _, begins, inverse = np.unique(first, return_index=True, return_inverse=True)
-    total = np.add.reduceat(counts, begins)[inverse] if len(keys) else counts
-    kinds = np.add.reduceat((counts > 0).astype(np.float64), begins)[inverse] if len(keys) else counts
-    own = unigram[keys & np.uint32(0xFFFF)]
+def answer_cells(group: pd.DataFrame) -> pd.DataFrame:
+    """What both models know of each chunk's pairs, in the chunk's own order: counts of the pairs (b) and, per first word, tokens and
+    kinds of words behind it (c), the corpus's before the target's."""
+    of_model = group["chunk"].isna()
+    model = group[of_model].iloc[0]
+    keys = unpacked_keys(model["a"])
+    counts = np.stack([unpacked(model[c], "<i8") for c in ("b", "c")])
+    firsts, begins = np.unique(keys >> np.uint32(16), return_index=True)
+    behind = np.concatenate([np.add.reduceat(counts, begins, axis=1), np.add.reduceat((counts > 0).astype(np.int64), begins, axis=1)])
+    rows = []
+    for chunk, cell, asked in group.loc[~of_model, ["chunk", "cell", "a"]].itertuples(index=False):
+        own = unpacked_keys(asked)
+        at = np.searchsorted(firsts, np.unique(own >> np.uint32(16)))
+        rows.append((int(chunk), cell, None, packed(counts[:, np.searchsorted(keys, own)], "<i8"), packed(behind[:, at], "<i8")))
+    return pd.DataFrame(rows, columns=["chunk", "cell", "a", "b", "c"])
+
+
+def losses(counts: np.ndarray, total: np.ndarray, kinds: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    """Losses of pairs in SCALE parts of a bit: absolute discounting, interpolated with the unigram probability of the second
+    word, which stands alone behind a first word that the model has not seen."""
     seen = np.maximum(total, 1.0)
-    p = np.where(total > 0, np.maximum(counts - DISCOUNT, 0.0) / seen + DISCOUNT * kinds / seen * own, own)
+    p = np.where(total > 0, np.maximum(counts - DISCOUNT, 0.0) / seen + DISCOUNT * kinds / seen * unigram, unigram)
     return np.rint(-np.log2(p) * SCALE).astype(np.int64)
 
 
-def answer_cells(background: np.ndarray, target: np.ndarray):
-    """Losses of both models for the pairs of each chunk in the group, in the chunk's own order."""
-
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        of_model = group["chunk"].isna()
-        model = group[of_model].iloc[0]
-        keys = np.frombuffer(model["a"], "<u4")
-        tables = [losses(keys, np.frombuffer(model[c], "<i8").astype(np.float64), u) for c, u in (("b", background), ("c", target))]
-        rows = []
-        for chunk, cell, asked in group.loc[~of_model, ["chunk", "cell", "a"]].itertuples(index=False):
-            at = np.searchsorted(keys, np.frombuffer(asked, "<u4"))
-            rows.append((int(chunk), cell, *(packed(t[at], "<i4") for t in tables), None))
-        return pd.DataFrame(rows, columns=["chunk", "cell", "a", "b", "c"])
-
-    return answer
-
-
-def score_chunk(group: pd.DataFrame) -> pd.DataFrame:
+def score_chunks(models: list[np.ndarray]):
     """Sums of both losses per document of a chunk."""
-    row = group[group["cell"] == TOKENS].iloc[0]
-    lengths, tokens = np.frombuffer(row["b"], "<i8"), np.frombuffer(row["c"], "<u2")
-    ids, known = np.frombuffer(row["a"][:8 * len(lengths)], "<i8"), np.frombuffer(row["a"][8 * len(lengths):], bool)
-    keys, inverse = np.unique(pairs_of(tokens, lengths), return_inverse=True)
-    order, cells, begins = by_cell(keys)
-    place = {c: (a, b) for c, a, b in zip(cells.tolist(), begins[:-1], begins[1:])}
-    tables = np.zeros((2, len(keys)), np.int64)
-    for cell, a, b in group.loc[group["cell"] >= 0, ["cell", "a", "b"]].itertuples(index=False):
-        own = order[slice(*place[cell])]
-        tables[0, own], tables[1, own] = np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")
-    ends = np.cumsum(lengths)
-    sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(tables[:, inverse], axis=1)], axis=1)
-    background, target = sums[:, ends] - sums[:, ends - lengths]
-    return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64").copy() if known.all() else pd.array([int(i) if k else None for i, k in zip(ids, known)], dtype="Int64"),
-                         "n_tokens": lengths, "background": background, "target": target})
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        row = group[group["cell"] == TOKENS].iloc[0]
+        lengths, tokens = unpacked(row["b"], "<i8"), unpacked(row["c"], "<u2")
+        known, ids = unpacked(row["a"], "<i8").reshape(2, -1)
+        keys, inverse = np.unique(pairs_of(tokens, lengths), return_inverse=True)
+        order, cells, begins = by_cell(keys)
+        place = {c: order[a:b] for c, a, b in zip(cells.tolist(), begins[:-1], begins[1:])}
+        counts, behind = np.zeros((2, len(keys))), np.zeros((4, len(keys)))
+        for cell, b, c in group.loc[group["cell"] >= 0, ["cell", "b", "c"]].itertuples(index=False):
+            own = place[cell]
+            counts[:, own] = unpacked(b, "<i8").reshape(2, -1)
+            behind[:, own] = unpacked(c, "<i8").reshape(4, -1)[:, np.unique(keys[own] >> np.uint32(16), return_inverse=True)[1]]
+        ends = np.cumsum(lengths)
+        sums = []
+        for m, unigram in enumerate(models):
+            table = losses(counts[m], behind[m], behind[2 + m], unigram[keys & np.uint32(0xFFFF)])
+            upto = np.append(0, np.cumsum(table[inverse]))
+            sums.append(upto[ends] - upto[ends - lengths])
+        return pd.DataFrame({"doc_id": pd.array([int(i) if k else None for i, k in zip(ids, known)], dtype="Int64"), "n_tokens": lengths, "background": sums[0], "target": sums[1]})
+
+    return score
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -189,7 +215,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     Both are bigram models with the same vocabulary, order and smoothing, counted over all documents. Documents are encoded
     once, in chunks; each chunk sends its distinct pairs to the cells of their first word, where counts are summed in a tree and
-    both losses are sent back. A pair thus reaches a cell once per chunk, however often a passage is repeated, and
+    what both models know of them is sent back. A pair thus reaches a cell once per chunk, however often a passage is repeated, and
     only the bounded vocabulary is broadcast. Null and empty texts have no tokens and null losses. Repeated rows are
     scored and counted each; rows with a null doc_id are in the background only; an empty table gives no row.
     """
@@ -197,7 +223,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     small_batches(spark)
     words, unigrams = vocabulary(docs)
     wanted = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    parts = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("doc_id", "text", "target").mapInPandas(encode(words), PARTS))
+    parts = written(docs.select("doc_id", encoded(words)("text").alias("tokens")).join(wanted, "doc_id", "left").select("doc_id", "tokens", "target").mapInPandas(gather, PARTS))
     chunks = parts.where(F.col("cell") == TOKENS).count()
     if not chunks:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), *(F.lit(None).cast("double").alias(c) for c in ("target_loss", "background_loss", "score"))).limit(0)
@@ -212,9 +238,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     held = cells.select(F.lit(None).cast("long").alias("chunk"), "cell", "a", "b", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"))
     reach = "chunk long, cell int, a binary, b binary, c binary"
     # A part without any chunk's pairs of a cell answers nothing.
-    answered = asked.union(held).groupBy("cell", "part").applyInPandas(answer_cells(*models), reach)
+    answered = asked.union(held).groupBy("cell", "part").applyInPandas(answer_cells, reach)
     tokens = parts.where(F.col("cell") == TOKENS).select("chunk", "cell", "a", "b", "c")
-    sums = tokens.union(answered).groupBy("chunk").applyInPandas(score_chunk, "doc_id long, n_tokens long, background long, target long")
+    sums = tokens.union(answered).groupBy("chunk").applyInPandas(score_chunks(models), "doc_id long, n_tokens long, background long, target long")
     bits = lambda c: F.when(F.col("n_tokens") > 0, c / SCALE / F.col("n_tokens"))      # noqa: E731
     return sums.select("doc_id", "n_tokens", bits(F.col("target")).alias("target_loss"), bits(F.col("background")).alias("background_loss"),
                        bits(F.col("target") - F.col("background")).alias("score"))
