@@ -222,8 +222,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     words, unigrams = vocabulary(docs)
+    # The target grows with the corpus, so it is never broadcast: one plan at every size.
     wanted = target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    parts = written(docs.select("doc_id", encoded(words)("text").alias("tokens")).join(wanted, "doc_id", "left").select("doc_id", "tokens", "target").mapInPandas(gather, PARTS))
+    parts = written(docs.select("doc_id", encoded(words)("text").alias("tokens")).join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "tokens", "target").mapInPandas(gather, PARTS))
     chunks = parts.where(F.col("cell") == TOKENS).count()
     if not chunks:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), *(F.lit(None).cast("double").alias(c) for c in ("target_loss", "background_loss", "score"))).limit(0)
