@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from prospectra.llm import chat, decontamination, lm, packing, pii, quality, secrets, sharding, simhash
+import corpus_pipeline
+from prospectra.llm import chat, decontamination, embeddings, lm, packing, pii, quality, secrets, sharding, simhash
 from prospectra.plans.registry import Registry
 
 
@@ -12,7 +13,9 @@ def register(registry: Registry) -> None:
     registry.add("op3_chat_format", chat.op3_chat_format, chat.OP3_SQL)
     registry.add("op4_simhash", simhash.op4_simhash)
     registry.add("op5_sharding", sharding.op5_sharding)
+    registry.add("op6_embedding_dedup", embeddings.op6_embedding_dedup)
     registry.add("op7_quality", quality.op7_quality)
     registry.add("op8_lm_score", lm.op8_lm_score, lm.OP8_SQL)
     registry.add("op9_personal_data", pii.op9_personal_data)
     registry.add("op10_packing", packing.op10_packing)
+    registry.add("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
