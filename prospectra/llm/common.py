@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows per Arrow batch: at a few kilobytes of text a row, a batch stays within some tens of megabytes.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 # Rows up to which a side table may be broadcast (some megabytes); larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 50_000
 
