@@ -10,6 +10,7 @@ from prospectra.llm.common import read, written
 SHARDS = 24
 ROUNDS = 6                  # propagation ends earlier once fewer than one linked document in STILL may move
 STILL = 1000
+SMALL_GROUP = 64            # rows of a group that are numbered by one sort
 ROWS_PER_BUCKET = 10_000    # documents that one sort numbers, about
 
 
@@ -26,21 +27,22 @@ def shard_counts(rows: DataFrame, shards: int) -> list[int]:
 def propagate(linked: DataFrame, capacity: int, shards: int) -> DataFrame:
     """Moves linked documents (row, group, shard, group_size) towards the shard that holds most of their neighbours.
 
-    A round counts the neighbours of each group per shard, joins the fullest shard back as the wish of every member that is
-    elsewhere, and lets a share of the wishes pass: as many as the wished shard has room for below its capacity. A hash of
-    row and round picks them. Counts combine before the shuffle; wishes come by an equi-join that a hot group's rows may split.
+    A round counts the neighbours of each group per shard, those in a full shard half, joins the shard with most back as the
+    wish of every member that is elsewhere, and lets a share of the wishes pass: as many as the wished shard has room for
+    below its capacity. A hash of group and round picks them, so that a group moves as one. Counts combine before the shuffle; wishes come by an equi-join that a hot group's rows may split.
     """
     total = linked.count()
     for turn in range(ROUNDS):
-        held = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
+        size = shard_counts(linked, shards)
+        weight = F.element_at(F.array(*(F.lit(0.5 if n >= capacity else 1.0) for n in size)), F.col("shard") + 1)
+        held = linked.groupBy("group", "shard").agg((F.count("*") * F.first(weight)).alias("n"))
         wish = written(held.groupBy("group").agg(F.max_by("shard", F.struct("n", F.xxhash64("group", "shard"))).alias("wish")))
         asked = written(linked.join(wish, "group"))
         moves = {(r["shard"], r["wish"]): r["count"] for r in asked.where("shard <> wish").groupBy("shard", "wish").count().collect()}
-        size = shard_counts(linked, shards)
         wanted = [sum(n for (_, to), n in moves.items() if to == s) for s in range(shards)]
         leaving = [sum(min(n, moves.get((to, s), 0)) for (at, to), n in moves.items() if at == s) for s in range(shards)]    # matched exchanges
         share = [0.0 if not w else min(1.0, max(0, capacity - held_now + out) / w) for held_now, out, w in zip(size, leaving, wanted)]
-        draw = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
+        draw = F.pmod(F.xxhash64("group", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
         passes = draw < F.element_at(F.array(*map(F.lit, share)), F.col("wish") + 1)
         linked = written(asked.withColumn("shard", F.when(passes, F.col("wish")).otherwise(F.col("shard"))).drop("wish"))
         if sum(w * p for w, p in zip(wanted, share)) * STILL < total:
@@ -52,7 +54,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of docs; shard sizes differ by one row at most.
 
     Links join documents of equal text. Documents start in a shard by hash, linked ones propagate, then the surplus of each
-    shard goes to those that lack rows, unlinked documents first. A group larger than three quarters of a shard is cut. Slots number a
+    shard goes to those that lack rows, unlinked documents first and then whole small groups. A group larger than three quarters of a shard is cut. Slots number a
     shard's rows from 0 without gaps. Null texts are empty; rows with equal or null doc_id are documents of their own.
     """
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -70,12 +72,14 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sized = written(base.join(groups, "group", "left").withColumn("group", part))
     alone = sized.where("group_size IS NULL")
     linked = propagate(sized.where("group_size IS NOT NULL"), capacity, shards)
-    order = F.col("group_size").isNotNull().cast("int")      # unlinked rows are the first to leave a full shard
+    # First to leave a full shard are unlinked rows, then whole small groups, as their rows are numbered together.
+    order = F.when(F.col("group_size").isNull(), 0).when(F.col("group_size") <= SMALL_GROUP, 1).otherwise(2)
+    together = F.when(order == 1, F.col("group")).otherwise(F.xxhash64("row"))
     buckets = max(8, total // (shards * ROWS_PER_BUCKET))
-    rows = written(alone.unionByName(linked).withColumn("part", order * buckets + F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")))
+    rows = written(alone.unionByName(linked).withColumn("part", order * buckets + F.pmod(F.xxhash64(together), F.lit(buckets)).cast("int")))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
     parts = rows.groupBy("shard", "part").agg(F.count("*").alias("n")).withColumn("before", before).select("shard", "part", "before")
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")) - 1
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("group", "row")) - 1
     numbered = rows.withColumn("place", place).join(parts, ["shard", "part"]).withColumn("place", F.col("place") + F.col("before"))
     now = shard_counts(rows, shards)
     largest = sorted(range(shards), key=lambda s: -now[s])[:total % shards]
