@@ -117,6 +117,7 @@ class ShardIndex:
     """FM-index of a shard's words: last column in a wavelet matrix, first column as counts, sampled suffix positions."""
 
     def __init__(self, text: np.ndarray, symbols: int) -> None:
+        text = np.append(text, 0)                # the end is a break like any other
         bits = max(1, int(symbols).bit_length())
         order = suffix_order(text, bits)
         before = np.where(order > 0, text[order - 1], 0)
