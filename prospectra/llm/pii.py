@@ -209,12 +209,16 @@ NODES = T.StructType([T.StructField("nodes", T.ArrayType(T.ArrayType(T.IntegerTy
 
 @F.pandas_udf(NODES)
 def training_nodes(texts: pd.Series) -> pd.DataFrame:
-    """Per text its nodes as [label, features...] and the codes (type, label, label) of its edges."""
+    """Per text its nodes as [label, features...] and the codes (type, label, label) of its edges. What repeats a confirmed span
+    without being one is left out: that the patterns miss it says nothing about it."""
     rows = []
     k = len(LABELS)
     for text in texts:
         nodes = nodes_of(text, base_spans(text)) if isinstance(text, str) and text else []
-        rows.append(([[n.label, *n.features] for n in nodes], [(t * k + nodes[i].label) * k + nodes[j].label for i, j, t in edges_of(nodes)]))
+        confirmed = {key for n in nodes if n.label for key in n.keys}
+        known = [bool(n.label) or confirmed.isdisjoint(n.keys) for n in nodes]
+        rows.append(([[n.label, *n.features] for n, own in zip(nodes, known) if own],
+                     [(t * k + nodes[i].label) * k + nodes[j].label for i, j, t in edges_of(nodes) if known[i] and known[j]]))
     return pd.DataFrame({"nodes": [r[0] for r in rows], "pairs": [r[1] for r in rows]})
 
 
