@@ -91,17 +91,19 @@ def balanced_split(headings: DataFrame, parts: int) -> DataFrame:
 
 
 def fewest_batches(headings: DataFrame, limit: int = V.CALL_TOKEN_LIMIT) -> DataFrame:
-    """(doc_id, parts): the smallest number of balanced batches that each fit the token limit.
+    """(doc_id, parts, reason): the smallest number of balanced batches that each fit the token limit; null with a reason where
+    one heading alone does not fit. Headings are priced whole.
 
     A batch costs its headings' tokens and answers plus a fixed allowance. Fewer than
     total / limit batches can never fit, so trying starts there; nearly every document is
     settled within the first stretch of candidates, and only the others try the rest.
     """
-    cost = estimate_tokens(preview(F.col("text"), V.HEADING_CHARS)) + V.ANSWER_TOKENS_PER_RISK
+    cost = estimate_tokens(F.col("text")) + V.ANSWER_TOKENS_PER_RISK
     priced = _with_running(headings).withColumn("cost", cost).select("doc_id", "running", "total", "cost")
     room = limit - V.REASONING_TOKENS
-    bounds = (priced.groupBy("doc_id").agg(F.sum("cost").alias("sum"), F.count("*").alias("high"), F.max("cost").alias("most"))
-              .where(F.col("most") <= room)
+    sums = priced.groupBy("doc_id").agg(F.sum("cost").alias("sum"), F.count("*").alias("high"), F.max("cost").alias("most"))
+    unfit = sums.where(F.col("most") > room).select("doc_id", F.lit(None).cast("long").alias("parts"), F.lit("heading too long").alias("reason"))
+    bounds = (sums.where(F.col("most") <= room)
               .select("doc_id", "high", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("sum") / room)).alias("low"))
               .withColumn("middle", F.least("high", F.col("low") + F.ceil(F.col("low") / 8) + 1)))
 
@@ -114,4 +116,4 @@ def fewest_batches(headings: DataFrame, limit: int = V.CALL_TOKEN_LIMIT) -> Data
     near = smallest(bounds.select("doc_id", F.explode(F.sequence("low", "middle")).alias("parts")))
     open_ = bounds.join(near, "doc_id", "left_anti").where("middle < high")
     far = smallest(open_.select("doc_id", F.explode(F.sequence(F.col("middle") + 1, F.col("high"))).alias("parts")))
-    return near.unionByName(far)
+    return near.unionByName(far).withColumn("reason", F.lit(None).cast("string")).unionByName(unfit)

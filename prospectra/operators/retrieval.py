@@ -193,9 +193,9 @@ def hybrid_search(questions: DataFrame, index: DataFrame, k: int = V.TOP_K_GENER
     """Dense and keyword candidates of every question, fused.
 
     `questions`: query_id, text, embedding; `index`: item_id, text, embedding (and the group column,
-    which then limits each question to its own group).
+    which then limits each question to its own group). Items without a vector are found by keywords only.
     """
-    dense = knn_ip(questions, index, V.CANDIDATES_PER_LIST, group)
+    dense = knn_ip(questions, index.where(F.col("embedding").isNotNull()), V.CANDIDATES_PER_LIST, group)
     groups = [group] if group else []
     keyword = bm25_search(questions, passage_terms(index.select("item_id", *groups, "text")), ["item_id"],
                           V.CANDIDATES_PER_LIST, group)

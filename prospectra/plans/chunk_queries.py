@@ -90,8 +90,8 @@ def register(r: Registry) -> None:
         SELECT doc_id, CASE WHEN len(n) = 1 THEN n[1] END AS domain FROM named""")
 
     def resolved(spark, sf):
-        texts = spread_derived(spark, sf, "domain_texts", "documents", "doc_id").select("doc_id", F.substring("text", 1, V.CLASSIFY_SAMPLE_CHARS).alias("sample"))
-        scores = classify.domain_scores(F.col("sample"))
+        texts = spread_derived(spark, sf, "domain_texts", "documents", "doc_id")
+        scores = classify.domain_scores(F.col("text"))
         scored = texts.select("doc_id", *[s.alias(d) for d, s in scores.items()])
         by_keywords = classify.best_domain({d: F.col(d) for d in V.DOMAINS})
         joined = scored.join(derived(spark, sf, "label_replies"), "doc_id", "left")
@@ -99,8 +99,7 @@ def register(r: Registry) -> None:
         return joined.select("doc_id", domain.alias("domain"), how.alias("detected_by"))
 
     r.add("resolve_domain", resolved, f"""
-        WITH {check_sql('domain_texts', 'label_replies')}, samples AS (SELECT doc_id, left(text, 5000) AS text FROM domain_texts),
-        {SCORES_SQL.format(source='samples')},
+        WITH {check_sql('domain_texts', 'label_replies')}, {SCORES_SQL.format(source='domain_texts')},
         named AS (SELECT doc_id, chosen, list_filter(['legal', 'finance', 'healthcare', 'enterprise'],
                   lambda d: list_contains(regexp_extract_all(lower(reply), '[a-z]+'), d)) AS n FROM label_replies)
         SELECT b.doc_id, coalesce(chosen, CASE WHEN len(n) = 1 THEN n[1] END, b.domain) AS domain,

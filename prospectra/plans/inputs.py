@@ -120,7 +120,7 @@ SELECT w.doc_id, w.y, r.statement, r.row_no, r.label, r.item,
     WHEN 'cash_and_equivalents' THEN cash_and_equivalents WHEN 'total_current_assets' THEN total_current_assets
     WHEN 'total_current_liabilities' THEN total_current_liabilities WHEN 'total_equity' THEN total_equity
     WHEN 'total_assets' THEN total_assets WHEN 'operating_cash_flow' THEN operating_cash_flow WHEN 'capex' THEN capex END AS value
-FROM (SELECT *, RANGE[0; 26] AS row_idx FROM fin_wide WHERE y >= 1998) AS w JOIN statement_rows r ON r.idx = w.row_idx
+FROM (SELECT *, RANGE[0; 26] AS row_idx FROM fin_wide) AS w JOIN statement_rows r ON r.idx = w.row_idx
 """
 DERIVED["cells"] = """
 SELECT doc_id, CASE statement WHEN 'profit_and_loss' THEN 59 WHEN 'balance_sheet' THEN 60 ELSE 61 END AS page, 1 AS table_no,

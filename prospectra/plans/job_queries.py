@@ -10,7 +10,7 @@ from prospectra.plans.inputs import check_sql, derived, table
 from prospectra.plans.registry import Registry
 from prospectra.plans.structure_queries import packed_sql
 from prospectra.streaming import ingest, jobs as J
-from prospectra.streaming.replay import file_stream, replay, work_dir
+from prospectra.streaming.replay import file_stream, replay, work_dir, replay_updates
 
 STATUS_SQL = "CASE event WHEN 'started' THEN 'running' WHEN 'progress' THEN 'running' WHEN 'waiting' THEN 'running' WHEN 'done' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'running' END"
 
@@ -54,9 +54,12 @@ def register(r: Registry) -> None:
         events = file_stream(spark, sf, "events").select("ts", F.col("event_type").alias("model"), F.floor(F.col("value") * 60).cast("long").alias("tokens"),
                                                          F.floor(F.col("value") * 8).cast("long").alias("output_tokens"))
         flat = J.stream_usage(events).select(F.col("window.start").alias("start"), "model", "used", "used_output")
-        return replay(flat).select("model", F.unix_seconds("start").alias("start"), "used", "used_output")
+        return replay_updates(flat, ["start", "model"]).select("model", F.unix_seconds("start").alias("start"), "used", "used_output")
 
-    r.add("stream_usage", usage_stream)
+    r.add("stream_usage", usage_stream, """
+        WITH c AS (SELECT event_type AS model, CAST(floor(epoch(ts) / 10) AS BIGINT) * 10 AS tick, CAST(floor(value * 60) AS BIGINT) AS tokens, CAST(floor(value * 8) AS BIGINT) AS output_tokens FROM events),
+        w AS (SELECT model, tick - 10 * unnest(range(6)) AS start, tokens, output_tokens FROM c)
+        SELECT model, start, CAST(sum(tokens) AS BIGINT) AS used, CAST(sum(output_tokens) AS BIGINT) AS used_output FROM w GROUP BY model, start""")
 
     # every document arrives, the labelled ones again in capitals; the later arrival replaces the earlier
     def arrivals(documents, labels):

@@ -171,7 +171,7 @@ def register(r: Registry) -> None:
         "item_id", F.col("item_id") * 2), headings(spark, sf), ON).select("item_id", "score"), f"""
         WITH {check_sql('risk_answers')} SELECT item_id * 2 AS item_id, score FROM risk_answers WHERE item_id * 2 IN (SELECT doc_id FROM documents)""")
     r.add("missing_numbers", lambda spark, sf: missing_numbers_of(spark, sf), """
-        WITH found AS (SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, documents.doc_id // 20 + 1 AS number FROM documents WHERE documents.doc_id IN (SELECT doc_id FROM labels)),
+        WITH found AS (SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, n_chars % 997 + 1 AS number FROM documents),
         last AS (SELECT doc_id, max(number) AS n FROM found GROUP BY doc_id)
         SELECT doc_id, number FROM (SELECT doc_id, unnest(generate_series(1, n)) AS number FROM last) WHERE (doc_id, number) NOT IN (SELECT doc_id, number FROM found)""")
     r.add("balanced_split", lambda spark, sf: R.balanced_split(headings(spark, sf), 7).select("doc_id", "number", "batch"), f"""
@@ -179,13 +179,14 @@ def register(r: Registry) -> None:
            sum(length(text)) OVER (PARTITION BY doc_id) AS total FROM headings)
         SELECT doc_id, number, CAST(least(floor(running / (total / 7)), 6) AS BIGINT) AS batch FROM run""")
     r.add("fewest_batches", lambda spark, sf: R.fewest_batches(headings(spark, sf)), f"""
-        WITH {HEADINGS_SQL}, c AS (SELECT doc_id, number, left(text, 1200) AS t, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS running,
+        WITH {HEADINGS_SQL}, c AS (SELECT doc_id, number, text AS t, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS running,
            sum(length(text)) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS n FROM headings),
         p AS (SELECT *, (length(t) - length(regexp_replace(t, '[^0-9]', '', 'g'))) // 4 + length(regexp_replace(t, '[^0-9]', '', 'g')) + 1 + 40 AS cost FROM c),
         x AS (SELECT *, unnest(generate_series(1, n)) AS parts FROM p),
         b AS (SELECT doc_id, parts, least(floor(running / (total / parts)), parts - 1) AS batch, sum(cost) AS used FROM x GROUP BY ALL),
         f AS (SELECT doc_id, parts FROM b GROUP BY ALL HAVING max(used) <= 5900)
-        SELECT doc_id, min(parts) AS parts FROM f GROUP BY doc_id""")
+        SELECT doc_id, min(parts) AS parts, NULL::VARCHAR AS reason FROM f GROUP BY doc_id
+        UNION ALL SELECT doc_id, NULL, 'heading too long' FROM p GROUP BY doc_id HAVING max(cost) > 5900""")
 
     # grounding
     def claims(spark, sf):
@@ -245,9 +246,9 @@ def register(r: Registry) -> None:
 
 
 def missing_numbers_of(spark, sf):
-    """Gaps of the labelled documents, numbered within their source."""
+    """Gaps among the printed numbers of all documents, within their source."""
     from prospectra.operators.structure import missing_numbers
 
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    d = table(spark, sf, "documents")
     return missing_numbers(d.select(F.substring("source", F.lit(4), F.lit(9)).cast("long").alias("doc_id"),
-                                    (F.floor(F.col("doc_id") / 20) + 1).alias("number")))
+                                    (F.col("n_chars") % 997 + 1).alias("number")))

@@ -7,8 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Plans (not data) built once per session and folder, so a sub-plan used by several parts of a query is the same object.
-shared = functools.lru_cache(maxsize=512)
+_CACHED: list = []
+
+
+def shared(build: Callable) -> Callable:
+    """Builds a plan (not data) once per query call, so a sub-plan used by several parts of a query is the same object."""
+    cached = functools.lru_cache(maxsize=512)(build)
+    _CACHED.append(cached)
+    return cached
+
+
+def forget_plans() -> None:
+    """Before a query is built: its tables are listed anew, so files added since are read."""
+    for cached in _CACHED:
+        cached.cache_clear()
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +33,12 @@ class Registry:
     def add(self, name: str, query: Query, check: str | None = None) -> None:
         if name in self.queries:
             raise ValueError(f"query {name} is registered twice")
-        # a fresh plan per call: shared sub-plans never hand on finished shuffles
-        self.queries[name] = lambda spark, sf_dir: query(spark, sf_dir).select("*")
+
+        def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+            forget_plans()
+            return query(spark, sf_dir).select("*")
+
+        self.queries[name] = fresh
         if check is not None:
             self.checks[name] = check
 

@@ -33,9 +33,9 @@ def vector_questions(spark, sf):
 
 @shared
 def vector_index(spark, sf):
-    """Documents that have a vector; the label plays the section."""
+    """All documents, with a vector and its label as the section where they have one."""
     return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text").join(
-        vectors(spark, sf).select(F.col("vec_id").alias("item_id"), "embedding", F.col("label").alias("section")), "item_id")
+        vectors(spark, sf).select(F.col("vec_id").alias("item_id"), "embedding", F.col("label").alias("section")), "item_id", "left")
 
 
 def bm25_hits(spark, sf, k=V.CANDIDATES_PER_LIST):
@@ -71,14 +71,14 @@ bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 QUESTIONS_SQL = "questions AS (SELECT item_id AS query_id, text FROM benchmark)"
 CHUNK_BM25_SQL = f"{chunks_sql('chunks', *V.GENERAL_CHUNKS)}, {QUESTIONS_SQL}, {bm25_sql('chunks', 'doc_id, chunk_id', 'questions')}"
 HYBRID_BASE_SQL = f"""{VEC_SQL}, vq AS (SELECT b.item_id AS query_id, text, e, label AS section FROM benchmark b JOIN vec ON vec_id = b.item_id),
-vi AS (SELECT doc_id AS item_id, text, e, label AS section FROM documents JOIN vec ON vec_id = doc_id)"""
+vi AS (SELECT doc_id AS item_id, text, e, label AS section FROM documents LEFT JOIN vec ON vec_id = doc_id)"""
 
 
 def hybrid_sql(group: bool, k: int) -> str:
     on = "vq.section = vi.section" if group else "TRUE"
     return f"""{HYBRID_BASE_SQL}, {bm25_sql('vi', 'item_id', 'vq', 'section' if group else '')},
 dense AS (SELECT query_id, item_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank
-  FROM (SELECT query_id, item_id, round(list_inner_product(vq.e, vi.e), 9) AS similarity FROM vq JOIN vi ON {on}) QUALIFY rank <= 50),
+  FROM (SELECT query_id, item_id, round(list_inner_product(vq.e, vi.e), 9) AS similarity FROM vq JOIN vi ON {on} WHERE vi.e IS NOT NULL) QUALIFY rank <= 50),
 lists AS (SELECT query_id, item_id, rank, similarity, 0 AS l FROM dense UNION ALL SELECT query_id, item_id, rank, NULL, 1 FROM bm25),
 fusedraw AS (SELECT query_id, item_id, sum(1.0 / (60 + rank)::DOUBLE) AS fused, max(similarity) AS similarity, min(l * 100 + rank) AS first FROM lists GROUP BY ALL),
 fused AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first) AS INT) AS rank,
