@@ -35,17 +35,17 @@ SCHEMAS = {
 
 DERIVED: dict[str, str] = {}
 
-# ---- statements: one issuer per supplier, one period per shipping year (2001 is a part-year)
+# ---- statements: one issuer per supplier, one period per shipping year (the last one is a part-year)
 DERIVED["fin_rev"] = """
 SELECT l_suppkey AS doc_id, CAST(year(l_shipdate) AS INT) AS y,
        round(sum(l_extendedprice * (1 - l_discount)) / 1000.0, 2) AS rev
-FROM lineitem WHERE year(l_shipdate) <= 2001 GROUP BY l_suppkey, year(l_shipdate)
+FROM lineitem GROUP BY l_suppkey, year(l_shipdate)
 """
 DERIVED["fin_wide"] = """
-SELECT doc_id, y,
-  CASE WHEN y = 2001 THEN 'Sep 30, 2001' ELSE 'FY' || CAST(y AS STRING) END AS period,
-  y <> 2001 AS full_year,
-  CASE WHEN y = 2001 THEN 9 ELSE 3 END AS m,
+SELECT doc_id, y, last_y,
+  CASE WHEN y = last_y THEN 'Sep 30, ' || CAST(y AS STRING) ELSE 'FY' || CAST(y AS STRING) END AS period,
+  y <> last_y AS full_year,
+  CASE WHEN y = last_y THEN 9 ELSE 3 END AS m,
   rev AS revenue_from_operations,
   rev * ((doc_id + 3 * y) % 7) / 200 AS other_income,
   rev * ((2 * doc_id + y) % 6) / 200 AS finance_costs,
@@ -64,7 +64,7 @@ SELECT doc_id, y,
   1.5E0 * rev AS total_assets,
   rev * ((5 * doc_id + 9 * y) % 13 - 3) / 100 AS operating_cash_flow,
   CASE WHEN doc_id % 6 = 5 THEN NULL ELSE -rev * ((doc_id + 7 * y) % 6) / 80 END AS capex
-FROM fin_rev
+FROM (SELECT *, CAST((SELECT max(year(l_shipdate)) FROM lineitem) AS INT) AS last_y FROM fin_rev) AS f
 """
 FIN_ITEMS = ("revenue_from_operations", "other_income", "finance_costs", "depreciation", "profit_before_tax",
              "profit_for_period", "total_equity", "total_income", "borrowings", "trade_receivables", "inventories",
@@ -112,7 +112,7 @@ SELECT doc_id, CAST(page AS INT) AS page,
 FROM (SELECT s_suppkey AS doc_id, RANGE[58; 61] AS page FROM supplier) AS p
 """
 DERIVED["statement_values"] = """
-SELECT w.doc_id, w.y, r.statement, r.row_no, r.label, r.item,
+SELECT w.doc_id, w.y, w.last_y, r.statement, r.row_no, r.label, r.item,
   CASE r.item WHEN 'revenue_from_operations' THEN revenue_from_operations WHEN 'other_income' THEN other_income
     WHEN 'total_income' THEN total_income WHEN 'finance_costs' THEN finance_costs WHEN 'depreciation' THEN depreciation
     WHEN 'profit_before_tax' THEN profit_before_tax WHEN 'profit_for_period' THEN profit_for_period
@@ -124,26 +124,17 @@ FROM (SELECT *, RANGE[0; 26] AS row_idx FROM fin_wide) AS w JOIN statement_rows
 """
 DERIVED["cells"] = """
 SELECT doc_id, CASE statement WHEN 'profit_and_loss' THEN 59 WHEN 'balance_sheet' THEN 60 ELSE 61 END AS page, 1 AS table_no,
-       row_no, col, text FROM (
-  SELECT doc_id, statement, row_no, 0 AS col, label AS text FROM statement_values WHERE y = 2000
-  UNION ALL
-  SELECT doc_id, statement, row_no, 1 AS col, CASE WHEN row_no % 3 = 0 AND item <> 'none' THEN CAST(row_no + 10 AS STRING) END AS text
-    FROM statement_values WHERE y = 2000
-  UNION ALL
-  SELECT doc_id, statement, row_no, 2003 - y AS col,
-    CASE WHEN item = 'none' OR value IS NULL THEN '' WHEN value = 0 THEN '-'
-         WHEN value < 0 THEN '(' || MONEY[-value] || ')' ELSE '₹ ' || MONEY[value] || CASE WHEN row_no % 5 = 0 THEN '*' ELSE '' END END AS text
-    FROM statement_values
-  UNION ALL
-  SELECT doc_id, statement, 0 AS row_no, 2003 - y AS col,
-    CASE WHEN statement = 'balance_sheet' AND y <> 2001 THEN 'As at 31st March,' WHEN y = 2001 THEN 'As at September 30,'
-         ELSE 'Year ended March 31,' END AS text
-    FROM statement_values WHERE row_no = 2
-  UNION ALL
-  SELECT doc_id, statement, 1 AS row_no, 2003 - y AS col, CAST(y AS STRING) AS text FROM statement_values WHERE row_no = 2
-  UNION ALL
-  SELECT doc_id, statement, 0 AS row_no, 0 AS col, 'Particulars' AS text FROM statement_values WHERE row_no = 2 AND y = 2000
-) AS c
+  CAST(CASE kind WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 0 ELSE row_no END AS INT) AS row_no,
+  CAST(CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 5 THEN 0 ELSE last_y - y + 2 END AS INT) AS col,
+  CASE kind WHEN 0 THEN label
+    WHEN 1 THEN CASE WHEN row_no % 3 = 0 AND item <> 'none' THEN CAST(row_no + 10 AS STRING) END
+    WHEN 2 THEN CASE WHEN item = 'none' OR value IS NULL THEN '' WHEN value = 0 THEN '-'
+         WHEN value < 0 THEN '(' || MONEY[-value] || ')' ELSE '₹ ' || MONEY[value] || CASE WHEN row_no % 5 = 0 THEN '*' ELSE '' END END
+    WHEN 3 THEN CASE WHEN statement = 'balance_sheet' AND y <> last_y THEN 'As at 31st March,' WHEN y = last_y THEN 'As at September 30,'
+         ELSE 'Year ended March 31,' END
+    WHEN 4 THEN CAST(y AS STRING) ELSE 'Particulars' END AS text
+FROM (SELECT *, RANGE[0; 5] AS kind FROM statement_values) AS k
+WHERE kind = 2 OR kind IN (0, 1) AND y = last_y - 1 OR kind IN (3, 4) AND row_no = 2 OR kind = 5 AND row_no = 2 AND y = last_y - 1
 """
 
 # ---- risk answers: one model answer per labelled document
@@ -268,10 +259,10 @@ SELECT doc_id, '  ' || text || CASE doc_id % 5 WHEN 0 THEN ' (F1)' WHEN 1 THEN '
 FROM documents
 """
 DERIVED["label_replies"] = """
-SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Legal.' WHEN 1 THEN 'The category is healthcare' WHEN 2 THEN 'legal or finance' WHEN 3 THEN 'none'
-    WHEN 4 THEN 'finance, certainly finance' WHEN 5 THEN 'Enterprise2' ELSE source || ' ' || lang END AS reply,
-  CASE WHEN doc_id % 5 = 0 THEN 'finance' WHEN doc_id % 11 = 3 THEN 'legal' END AS chosen
-FROM documents WHERE doc_id % 13 <> 12
+SELECT doc_id, CASE WHEN doc_id % 13 <> 12 THEN CASE doc_id % 7 WHEN 0 THEN 'Legal.' WHEN 1 THEN 'The category is healthcare' WHEN 2 THEN 'legal or finance' WHEN 3 THEN 'none'
+    WHEN 4 THEN 'finance, certainly finance' WHEN 5 THEN 'Enterprise2' ELSE source || ' ' || lang END END AS reply,
+  CASE WHEN doc_id % 13 = 12 THEN NULL WHEN doc_id % 5 = 0 THEN 'finance' WHEN doc_id % 11 = 3 THEN 'legal' END AS chosen
+FROM documents
 """
 # ---- files, page blocks, saved results
 DERIVED["files"] = """
