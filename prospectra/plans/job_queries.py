@@ -45,10 +45,16 @@ def register(r: Registry) -> None:
 
     # streams replayed over the stored files
     def submissions(spark, sf):
-        events = file_stream(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "ts", "event_id")
-        return replay(J.dedupe_submissions(events)).select("doc_id")
-
-    r.add("dedupe_submissions", submissions)
+        events = file_stream(spark, sf, "events").select(F.col("user_id").alias("doc_id"), "ts", "event_id", F.floor(F.col("value") * 600).alias("seconds"))
+        return replay(J.dedupe_submissions(events))
+
+    r.add("dedupe_submissions", submissions, """
+        WITH RECURSIVE o AS (SELECT user_id AS doc_id, event_id, epoch_us(ts) AS at_us, CAST(floor(value * 600) AS BIGINT) * 1000000 AS length_us,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        jobs AS (SELECT doc_id, event_id, n, at_us + length_us AS until_us FROM o WHERE n = 1
+          UNION ALL SELECT doc_id, event_id, n, until_us FROM (SELECT o.doc_id, o.event_id, o.n, o.at_us + o.length_us AS until_us, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.n) AS k
+            FROM jobs JOIN o ON o.doc_id = jobs.doc_id AND o.n > jobs.n AND o.at_us >= jobs.until_us) WHERE k = 1)
+        SELECT doc_id, event_id FROM jobs""")
 
     def usage_stream(spark, sf):
         events = file_stream(spark, sf, "events").select("ts", F.col("event_type").alias("model"), F.floor(F.col("value") * 60).cast("long").alias("tokens"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prospectra.functions import fixed_values as V
 from prospectra.functions.columns import lookup
@@ -85,7 +89,24 @@ def stream_usage(calls: DataFrame, delay: str = "2 minutes") -> DataFrame:
         F.sum("tokens").alias("used"), F.sum("output_tokens").alias("used_output"))
 
 
-def dedupe_submissions(submissions: DataFrame, active_for: str = "10 minutes") -> DataFrame:
-    """A document submitted again while still active is not queued twice."""
-    return (submissions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", active_for)
-            .dropDuplicatesWithinWatermark(["doc_id"]))
+def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Admits a document's submissions in order of arrival; state: when its last admitted job ends, in microseconds."""
+    rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+    until = state.get[0] if state.exists else None
+    kept = []
+    for at, length in zip(rows["at"].tolist(), rows["length"].tolist()):
+        kept.append(until is None or at >= until)
+        if kept[-1]:
+            until = at + length
+    state.update((until,))
+    yield rows.loc[kept, ["doc_id", "event_id"]]
+
+
+def dedupe_submissions(submissions: DataFrame) -> DataFrame:
+    """(doc_id, event_id) of the submissions that start a job: one that comes while an earlier job of its document has not ended is
+    not queued again. submissions: doc_id, event_id, ts and seconds, how long its job would take. One number per document is
+    kept as state; files that arrive in the order of time give the same rows however they fall into micro-batches.
+    """
+    micros = (_seconds(F.col("ts")) * 1000000).cast("long")
+    timed = submissions.select("doc_id", "event_id", micros.alias("at"), (F.col("seconds") * 1000000).cast("long").alias("length"))
+    return timed.groupBy("doc_id").applyInPandasWithState(admit, "doc_id long, event_id long", "until long", "append", GroupStateTimeout.NoTimeout)

@@ -17,11 +17,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='prospectra-')}/{uuid.uuid4().hex}"
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
     """A table's files as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # A stream reads a folder or a pattern; the bracket makes the one name a pattern that matches nothing else.
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
 def replay(stream: DataFrame) -> DataFrame:

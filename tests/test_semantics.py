@@ -11,7 +11,7 @@ from prospectra.functions import text as T
 from prospectra.functions.columns import exact_round, fixed, general, grouped
 from prospectra.operators import accuracy, chunking, grounding, legal, offer, ordered, retrieval, structure
 from prospectra.sources import text_files
-from prospectra.streaming import jobs
+from prospectra.streaming import jobs, replay
 
 
 def values(spark, expression, *inputs, schema="x STRING"):
@@ -157,3 +157,42 @@ def test_streaming_steps_equal_batch(spark, tmp_path):
 
     stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert seen == {(r.job_id, r.step): r.status for r in jobs.latest_steps(df).collect()}
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_streams_do_not_depend_on_the_split(spark, tmp_path, files):
+    """The same rows in one file or in several, one file per trigger, end in the same state as a plain loop and a batch sum."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(3)
+    rows = sorted(((i, rng.randrange(6), datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(4000)), rng.randrange(1, 400)) for i in range(300)), key=lambda r: (r[2], r[0]))
+    schema = "event_id long, doc_id long, ts timestamp_ntz, seconds long"
+    folder = tmp_path / "events.parquet"
+    size = -(-len(rows) // files)
+    for at in range(0, len(rows), size):
+        spark.createDataFrame(rows[at:at + size], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    until, want = {}, set()
+    for event, doc, ts, seconds in rows:
+        if doc not in until or ts >= until[doc]:
+            want.add((doc, event))
+            until[doc] = ts + timedelta(seconds=seconds)
+    got = replay.replay(jobs.dedupe_submissions(replay.file_stream(spark, str(tmp_path), "events", 1)))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) < 300
+    calls = replay.file_stream(spark, str(tmp_path), "events", 1).selectExpr("ts", "cast(doc_id as string) as model", "seconds as tokens", "1L as output_tokens")
+    used = replay.replay_updates(jobs.stream_usage(calls).selectExpr("window.start as start", "model", "used", "used_output"), ["start", "model"]).collect()
+    sums = {}
+    for _, doc, ts, seconds in rows:
+        for back in range(6):
+            key = ((ts - datetime(1970, 1, 1)).total_seconds() // 10 * 10 - 10 * back, str(doc))
+            sums[key] = (sums.get(key, (0, 0))[0] + seconds, sums.get(key, (0, 0))[1] + 1)
+    assert len(used) == len(sums) and sorted((r.model, r.used, r.used_output) for r in used) == sorted((k[1], *v) for k, v in sums.items())
+
+
+def test_new_files_are_read_in_one_session(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i, f"text  {i}", "en", "src1", 7) for i in range(4)]
+    for at in (0, 2):
+        spark.createDataFrame(rows[at:at + 2], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+        assert entry.queries()["collapse_ws"](spark, str(tmp_path)).count() == at + 2
