@@ -111,8 +111,9 @@ def register(r: Registry) -> None:
             ELSE CAST(CAST(round(v * (1 + (n % 7) / 1000.0E0), 2) AS DECIMAL(20,2)) AS VARCHAR) END AS actual, n % 4 = 0 AS flag, v FROM per),
         q AS (SELECT *, CASE WHEN flag THEN CASE WHEN fact_id % 8 = 0 THEN 'true' ELSE 'false' END = actual
             ELSE actual <> 'MISSING' AND abs(TRY_CAST(actual AS DOUBLE) - v) <= greatest(v * 0.005, 0.01) END AS ok FROM k)"""
-    r.add("resolve_path", lambda spark, sf: checked(spark, sf).select("fact_id", "actual", (F.col("actual") == "MISSING").alias("missing")),
-          f"{acc} SELECT fact_id, actual, actual = 'MISSING' AS missing FROM q")
+    r.add("resolve_path", lambda spark, sf: checked(spark, sf).select(
+        "fact_id", F.col("actual").try_cast("double").alias("value"), F.when(F.col("actual").try_cast("double").isNull(), F.col("actual")).alias("other"), (F.col("actual") == "MISSING").alias("missing")),
+          f"{acc} SELECT fact_id, TRY_CAST(actual AS DOUBLE) AS value, CASE WHEN TRY_CAST(actual AS DOUBLE) IS NULL THEN actual END AS other, actual = 'MISSING' AS missing FROM q")
     r.add("accuracy_matches", lambda spark, sf: checked(spark, sf).select("doc_id", "fact_id", "ok"), f"{acc} SELECT doc_id, fact_id, ok FROM q")
     r.add("accuracy_report", lambda spark, sf: A.accuracy_report(checked(spark, sf)),
           f"{acc} SELECT doc_id, count(*) FILTER (ok) AS passed, count(*) AS total FROM q GROUP BY ROLLUP (doc_id)")
