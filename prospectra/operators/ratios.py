@@ -65,8 +65,8 @@ def profile(facts: DataFrame, periods: DataFrame) -> DataFrame:
             .withColumn("full", F.filter("p", lambda x: x["full_year"])))
 
 
-# expressions over one issuer's arrays
-P, FULL = F.col("p"), F.col("full")
+# one issuer's arrays: columns by name, so that importing needs no session
+P, FULL = "p", "full"
 
 
 def newest(array: Column) -> Column:

@@ -62,12 +62,13 @@ counts AS (SELECT doc_id, count(*) AS total, {', '.join(f"count(*) FILTER (score
   CAST(printf('%.2f', sum(score) / count(score)) AS DOUBLE) AS average_score FROM reg GROUP BY doc_id)"""
 
 # ------------------------------------------------------------------ legal
-SHOWN = F.sequence(F.lit(300), F.lit(307))
+def shown():
+    return F.sequence(F.lit(300), F.lit(307))
 
 
 @shared
 def records(spark, sf):
-    return L.case_records(spread_derived(spark, sf, "cases", "events", "ord"), SHOWN)
+    return L.case_records(spread_derived(spark, sf, "cases", "events", "ord"), shown())
 
 
 @shared

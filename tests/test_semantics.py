@@ -196,3 +196,13 @@ def test_new_files_are_read_in_one_session(spark, tmp_path):
     for at in (0, 2):
         spark.createDataFrame(rows[at:at + 2], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
         assert entry.queries()["collapse_ws"](spark, str(tmp_path)).count() == at + 2
+
+
+def test_names_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print('NAMES', len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert "NAMES" in said.stdout, said.stderr[-500:]
