@@ -48,6 +48,13 @@ def general(value: Column) -> Column:
     return F.when(size >= 999999.5, large).otherwise(trimmed)
 
 
+def plain(value: Column) -> Column:
+    """The shortest decimals that name the double, without an exponent below 1e16: 12.0, 0.1, 25000000.0."""
+    text = value.cast("double").cast("string")
+    long = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,16)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(text.contains("E") & (F.abs(value) < 1e16), long).otherwise(text)
+
+
 def exact_round(value: Column, digits: int) -> Column:
     """Correctly rounded decimal value (half to even on the exact binary value); -0.0 becomes 0.0."""
     return fixed(value, digits).cast("double") + F.lit(0.0)

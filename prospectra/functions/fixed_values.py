@@ -320,3 +320,7 @@ STEPS = ("parse", "index", "risk", "financial", "legal", "business", "offer", "s
 STEP_STATUS = {"started": "running", "progress": "running", "waiting": "running", "done": "done", "failed": "failed"}
 TOKENS_PER_MINUTE, OUTPUT_TOKENS_PER_MINUTE = 8000, 1000
 ACCURACY_TOLERANCE, ACCURACY_ABSOLUTE = 0.005, 0.01
+
+# What is said of a number that its source does not state
+LEFT_OUT = "{field} ({value}) isn't in the excerpts, so it was left out"
+OBJECT_FIELD = "amount for '{purpose}'"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
-from prospectra.functions.columns import exact_round, fill, general, lookup
+from prospectra.functions.columns import exact_round, fill, general, lookup, plain
 from prospectra.operators.grounding import number_in
 
 
@@ -69,3 +69,22 @@ def ground_offer(offers: DataFrame, fields: Sequence[str], source: str = "source
     lost = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & ~number_in(F.col(f), F.col(source)), f) for f in fields]))
     checked = offers.withColumn("left_out", lost)
     return checked.withColumns({f: F.when(~F.array_contains("left_out", F.lit(f)), F.col(f)) for f in fields})
+
+
+def ground_objects(objects: DataFrame, source: str = "source_text") -> DataFrame:
+    """Uses of proceeds whose amount the source does not state lose it, with a warning."""
+    lost = F.col("amount").isNotNull() & ~number_in(F.col("amount"), F.col(source))
+    warning = fill(V.LEFT_OUT, field=fill(V.OBJECT_FIELD, purpose=F.substring("purpose", 1, 40)), value=plain(F.col("amount")))
+    # Two steps: inside a lambda, Spark would take `amount` for the new column of the same projection.
+    return objects.withColumn("warning", F.when(lost, warning)).withColumn("amount", F.when(F.col("warning").isNull(), F.col("amount")))
+
+
+def grounding_warnings(offers: DataFrame, fields: Sequence[str], source: str = "source_text") -> DataFrame:
+    """(doc_id, ord, warning): one warning per number that `ground_offer` leaves out, in field order."""
+    def warning(i: int, f: str) -> Column:
+        value = plain(F.col(f)) if dict(offers.dtypes)[f] == "double" else F.col(f)
+        text = fill(V.LEFT_OUT, field=F.lit(f.replace("_", " ")), value=value)
+        return F.when(F.col(f).isNotNull() & ~number_in(F.col(f), F.col(source)), F.struct(F.lit(i).cast("long").alias("ord"), text.alias("warning")))
+
+    found = F.array_compact(F.array(*[warning(i, f) for i, f in enumerate(fields)]))
+    return offers.select("doc_id", F.inline(found))

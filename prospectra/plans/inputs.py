@@ -187,14 +187,15 @@ SELECT o_orderkey AS doc_id,
   CASE WHEN o_orderkey % 13 = 5 THEN NULL ELSE o_orderkey % 900 + 100 END AS fresh_issue_shares,
   (o_custkey % 400) * (o_orderkey % 3) AS offer_for_sale_shares,
   o_orderstatus = 'P' AS promoters_selling,
-  CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE (o_orderkey % 900 + 100) * 4 + o_custkey % 1000 END AS shares_after_offer
+  CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE (o_orderkey % 900 + 100) * 4 + o_custkey % 1000 END AS shares_after_offer,
+  CAST(100 + o_custkey % 40 AS INT) AS offer_page
 FROM orders
 """
 DERIVED["objects"] = """
 SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_returnflag = 'R' AS general_purposes,
   CASE WHEN l_linenumber = 6 THEN NULL ELSE l_extendedprice END AS amount,
   CASE WHEN p_name LIKE '%rod' THEN 'Repayment of borrowings for ' || p_name WHEN p_name LIKE '%ring' THEN 'Prepayment of loans on ' || p_name
-       ELSE 'Purchase of ' || p_name END AS purpose
+       ELSE 'Purchase of ' || p_name END AS purpose, CAST(120 + l_partkey % 30 AS INT) AS page
 FROM lineitem JOIN part ON p_partkey = l_partkey
 """
 
@@ -203,10 +204,32 @@ DERIVED["promoters"] = """
 SELECT c_custkey AS doc_id, c_name AS name,
   CASE WHEN c_custkey % 17 = 16 THEN NULL ELSE (c_custkey * 37 % 10000) / 100.0E0 END AS holding_pct,
   CASE c_custkey % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS shares_pledged,
-  CAST(c_custkey % 5 AS INT) AS n_concerns
+  CAST(c_custkey % 5 AS INT) AS n_concerns,
+  CAST(150 + c_nationkey AS INT) AS holding_page, CAST(180 + c_nationkey % 7 AS INT) AS pledge_page
 FROM customer
 """
 
+# ---- the holders who sell in an offer, its listed peers (suppliers of the same nation), approvals not yet received
+DERIVED["sellers"] = """
+SELECT l_orderkey AS doc_id, l_linenumber AS ord, s_name AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'A'
+"""
+DERIVED["peers"] = """
+SELECT s.s_suppkey AS doc_id, p.low, p.high, CASE WHEN s.s_suppkey % 8 <> 7 THEN p.mean END AS mean, CAST(200 + s.s_suppkey % 5 AS INT) AS page
+FROM supplier s JOIN (SELECT s_nationkey, min(pe) / 100.0E0 AS low, max(pe) / 100.0E0 AS high, floor(sum(pe) / CAST(count(*) AS DOUBLE)) / 100.0E0 AS mean
+  FROM (SELECT s_nationkey, CAST(floor(abs(s_acctbal)) AS BIGINT) + 100 AS pe FROM supplier) AS a GROUP BY s_nationkey) AS p ON p.s_nationkey = s.s_nationkey
+"""
+DERIVED["pending"] = """
+SELECT s_suppkey AS doc_id, i AS ord, 'Licence ' || CAST(i AS STRING) || ' of ' || s_name AS item, CAST(250 + s_nationkey AS INT) AS page
+FROM (SELECT s_suppkey, s_name, s_nationkey, RANGE[1; 3] AS i FROM supplier) AS s WHERE i <= s_suppkey % 4 AND s_suppkey % 9 <> 8
+"""
+# ---- what the written answers say of a document: its lines
+DERIVED["claims"] = """
+SELECT doc_id, CAST(ln AS BIGINT) AS ord, CAST(ln DIV 4 + 1 AS INT) AS page, line AS text, CASE WHEN ln = 0 THEN 'description' WHEN ln = 1 THEN 'summary'
+    WHEN ln = 2 THEN 'market_position' WHEN ln = 3 THEN 'related_party' WHEN ln = 4 THEN 'executive_summary'
+    WHEN ln % 3 = 0 THEN 'strength' WHEN ln % 3 = 1 THEN 'weakness' ELSE 'governance' END AS kind
+FROM (SELECT source, doc_id, LINES[text])
+"""
+
 # ---- jobs: one job per user, one progress message per event
 DERIVED["job_events"] = """
 SELECT user_id AS job_id, event_id, ts,
@@ -288,8 +311,8 @@ SELECT doc_id, page, t AS table_no, CAST(CASE t WHEN 0 THEN 10 WHEN 1 THEN 35 EL
 FROM (SELECT doc_id, page, RANGE[0; 2] AS t FROM (SELECT DISTINCT doc_id, page FROM blocks) AS p) AS b
 """
 DERIVED["agent_results"] = """
-SELECT user_id AS doc_id, event_id AS result_id, ts AS saved_at, CASE k % 5 WHEN 0 THEN 'risk' WHEN 1 THEN 'financial' WHEN 2 THEN 'business'
-    WHEN 3 THEN 'legal' ELSE 'offer' END AS agent,
+SELECT user_id AS doc_id, event_id AS result_id, ts AS saved_at, CASE k % 7 WHEN 0 THEN 'risk' WHEN 1 THEN 'financial' WHEN 2 THEN 'business'
+    WHEN 3 THEN 'legal' WHEN 4 THEN 'offer' WHEN 5 THEN 'score' ELSE 'report' END AS agent,
   CASE event_type WHEN 'error' THEN 'failed' ELSE 'done' END AS status, CAST(floor(value * 60) AS BIGINT) AS tokens, k
 FROM (SELECT user_id, event_id, event_type, value, ts, CAST(JSON[props; k] AS INT) AS k FROM events) AS e
 """
@@ -299,13 +322,21 @@ SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 13 = 0 THEN '  ' WHEN (
 FROM conversations WHERE role <> 'system'
 """
 DERIVED["offer_answers"] = """
-SELECT doc_id, amount_unit, fresh_issue_amount, CAST(fresh_issue_shares AS BIGINT) AS fresh_issue_shares, CAST(offer_for_sale_shares AS BIGINT) AS offer_for_sale_shares,
-  CAST(shares_after_offer AS BIGINT) AS shares_after_offer,
-  'The fresh issue of ' || CASE WHEN doc_id % 4 = 1 THEN 'an amount to be decided' ELSE '₹ ' || COALESCE(MONEY[fresh_issue_amount], 'nil') END
+SELECT *, 'The fresh issue of ' || CASE WHEN doc_id % 4 = 1 THEN 'an amount to be decided' ELSE '₹ ' || COALESCE(MONEY[fresh_issue_amount], 'nil') END
    || ' offers ' || CASE WHEN doc_id % 5 = 2 THEN '[●]' ELSE COALESCE(CAST(fresh_issue_shares AS STRING), '') END
    || ' shares; holders sell ' || CASE WHEN doc_id % 6 = 3 THEN 'some' ELSE CAST(offer_for_sale_shares AS STRING) END
-   || ' shares; after it there are ' || COALESCE(CAST(shares_after_offer + doc_id % 3 - 1 AS STRING), '') || ' shares.' AS source_text
-FROM offers
+   || ' shares; before it there are ' || CASE WHEN doc_id % 11 = 4 THEN 'fewer' ELSE CAST(shares_before_offer AS STRING) END
+   || ' and after it ' || COALESCE(CAST(shares_after_offer + doc_id % 3 - 1 AS STRING), '') || ' shares. General corporate purposes take '
+   || CASE WHEN doc_id % 9 = 6 THEN 'the rest' ELSE COALESCE(MONEY[general_corporate_purposes_amount], 'nothing') END || '.' AS source_text
+FROM (SELECT doc_id, amount_unit, fresh_issue_amount, CAST(fresh_issue_shares AS BIGINT) AS fresh_issue_shares,
+    CAST(offer_for_sale_shares AS BIGINT) AS offer_for_sale_shares, CAST((doc_id % 900 + 100) * 3 AS BIGINT) AS shares_before_offer,
+    CAST(shares_after_offer AS BIGINT) AS shares_after_offer, CAST(floor(fresh_issue_amount / 4) AS DOUBLE) AS general_corporate_purposes_amount
+  FROM offers) AS o
+"""
+DERIVED["object_answers"] = """
+SELECT doc_id, ord, purpose, amount, 'We will use ' || CASE WHEN (doc_id + ord) % 5 = 1 THEN 'an amount to be decided' ELSE COALESCE(MONEY[amount], 'nothing') END
+   || ' for ' || purpose || '.' AS source_text
+FROM objects
 """
 # ---- spans of printed lines, evidence excerpts, raw answers
 DERIVED["spans"] = """
@@ -326,7 +357,7 @@ FROM documents
 """
 
 DEPENDS = {
-    "offer_answers": ("offers",),
+    "offer_answers": ("offers",), "object_answers": ("objects",),
     "boxes": ("blocks",),
     "fin_wide": ("fin_rev",), "statement_values": ("fin_rev", "fin_wide", "statement_rows"),
     "cells": ("fin_rev", "fin_wide", "statement_rows", "statement_values"),

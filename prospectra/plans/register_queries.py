@@ -148,7 +148,12 @@ orr AS (SELECT doc_id, 1 AS o, CASE WHEN offer_for_sale_pct >= 50 THEN 'amber' E
  UNION ALL SELECT doc_id, 5, 'info', 'mostly_debt_repayment', printf('%g', debt_pct) || '% of the stated uses repay borrowings: this lowers interest costs rather than funding growth' FROM om WHERE debt_pct >= 50
  UNION ALL SELECT doc_id, 6, 'info', 'dilution', 'New shares will make up ' || printf('%g', dilution_pct) || '% of all shares after the offer' FROM om WHERE dilution_pct IS NOT NULL),
 oflags AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS INT) AS ord, severity, code, message FROM orr)"""
-GROUNDED = ("fresh_issue_amount", "fresh_issue_shares", "offer_for_sale_shares", "shares_after_offer")
+GROUNDED = ("fresh_issue_amount", "fresh_issue_shares", "offer_for_sale_shares", "shares_before_offer", "shares_after_offer",
+            "general_corporate_purposes_amount")
+GROUND_TEXT = {f: ("printf('%.4f', {f})" if f.endswith("_amount") else "CAST({f} AS VARCHAR)").format(f=f) for f in GROUNDED}
+GROUND_OK = {f: f"len({unsupported_sql(f'[{t}]', FIGS.format(t='source_text'))}) = 0" for f, t in GROUND_TEXT.items()}
+GROUND_SQL = f"""{check_sql('offer_answers')}, gk AS (SELECT *, {', '.join(f'{c} AS ok_{f}' for f, c in GROUND_OK.items())} FROM offer_answers)"""
+OBJECT_OK = f"len({unsupported_sql("[printf('%.4f', amount)]", FIGS.format(t='source_text'))}) = 0"
 
 
 def register(r: Registry) -> None:
@@ -230,6 +235,8 @@ def register(r: Registry) -> None:
           f"WITH {LEGAL_FLAGS_SQL} SELECT doc_id, ord, severity, code, message FROM lflags")
     r.add("cases_filed_by", lambda spark, sf: L.split_cases(marked_cases(spark, sf))[1].select("doc_id", "ord", "party"),
           f"WITH {LEGAL_SQL} SELECT doc_id, ord, party FROM mk WHERE NOT against_party")
+    r.add("cases_against", lambda spark, sf: L.split_cases(marked_cases(spark, sf))[0].select("doc_id", "ord", "party", "in_total_row"),
+          f"WITH {LEGAL_SQL} SELECT doc_id, ord, party, in_total_row FROM mk WHERE against_party")
 
     # offers
     amounts = {"fresh_issue_million": "fresh", "specified_objects_million": "specified", "gcp_million": "gcp", "debt_repayment_million": "debt"}
@@ -237,13 +244,14 @@ def register(r: Registry) -> None:
     r.add("offer_metrics", lambda spark, sf: metrics(spark, sf).select("doc_id", *[F.round(c, 4).alias(c) for c in amounts], *shares), f"""
         WITH {OFFERS_SQL} SELECT doc_id, {', '.join(f'round({b}, 4) AS {a}' for a, b in amounts.items())}, {', '.join(shares)} FROM om""")
     r.add("offer_flags", lambda spark, sf: O.offer_flags(metrics(spark, sf)), f"WITH {OFFER_FLAGS_SQL} SELECT doc_id, ord, severity, code, message FROM oflags")
-    texts = {f: ("printf('%.4f', {f})" if f == "fresh_issue_amount" else "CAST({f} AS VARCHAR)").format(f=f) for f in GROUNDED}
-    ok = {f: f"len({unsupported_sql(f'[{t}]', FIGS.format(t='source_text'))}) = 0" for f, t in texts.items()}
     r.add("ground_offer", lambda spark, sf: O.ground_offer(derived(spark, sf, "offer_answers"), GROUNDED).select(
         "doc_id", *GROUNDED, F.array_join("left_out", ",").alias("left_out")), f"""
-        WITH {check_sql('offer_answers')}, k AS (SELECT *, {', '.join(f'{c} AS ok_{f}' for f, c in ok.items())} FROM offer_answers)
-        SELECT doc_id, {', '.join(f'CASE WHEN ok_{f} THEN {f} END AS {f}' for f in GROUNDED)},
-          array_to_string(list_filter([{', '.join(f"CASE WHEN {f} IS NOT NULL AND NOT ok_{f} THEN '{f}' END" for f in GROUNDED)}], lambda z: z IS NOT NULL), ',') AS left_out FROM k""")
+        WITH {GROUND_SQL} SELECT doc_id, {', '.join(f'CASE WHEN ok_{f} THEN {f} END AS {f}' for f in GROUNDED)},
+          array_to_string(list_filter([{', '.join(f"CASE WHEN {f} IS NOT NULL AND NOT ok_{f} THEN '{f}' END" for f in GROUNDED)}], lambda z: z IS NOT NULL), ',') AS left_out FROM gk""")
+    r.add("ground_objects", lambda spark, sf: O.ground_objects(derived(spark, sf, "object_answers")).select("doc_id", "ord", "amount", "warning"), f"""
+        WITH {check_sql('object_answers')}, k AS (SELECT *, amount IS NOT NULL AND NOT ({OBJECT_OK}) AS lost FROM object_answers)
+        SELECT doc_id, ord, CASE WHEN NOT lost THEN amount END AS amount,
+          CASE WHEN lost THEN 'amount for ''' || left(purpose, 40) || ''' (' || CAST(amount AS VARCHAR) || ') isn''t in the excerpts, so it was left out' END AS warning FROM k""")
 
 
 def missing_numbers_of(spark, sf):
