@@ -324,3 +324,4 @@ ACCURACY_TOLERANCE, ACCURACY_ABSOLUTE = 0.005, 0.01
 # What is said of a number that its source does not state
 LEFT_OUT = "{field} ({value}) isn't in the excerpts, so it was left out"
 OBJECT_FIELD = "amount for '{purpose}'"
+DROPPED_FACTS = "{label}: dropped unknown fact ids [{ids}]"

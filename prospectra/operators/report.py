@@ -14,6 +14,15 @@ from prospectra.functions.text import strip_inline_ids
 # Order and letter of the fact sources, and how a fact is worded.
 PREFIXES = "FRBOL"
 FACT_TEXT = {
+    "description": "What it does: {text}",
+    "strength": "Strength: {text}",
+    "weakness": "Weakness: {text}",
+    "market_position": "Market position: {text}",
+    "governance": "Governance: {text}",
+    "related_party": "Related parties: {text}",
+    "sellers": "Offer for sale by {names}",
+    "peers": "Listed peers' P/E: {low} to {high}, average {mean}",
+    "pending": "Approval pending: {item}",
     "signal": "{dimension}: {signal}. {reason}",
     "flag": "{severity} flag: {message}",
     "risks": "{total} risk factors, average score {average} out of 5 ({high} scored 4-5)",
@@ -26,6 +35,22 @@ FACT_TEXT = {
     "use": "Use of proceeds: {purpose}{amount}",
     "cases": "Cases against the company, promoters and directors: {cases}. Claims total ₹{amount} m{share}",
 }
+DIGEST_TEXT = {
+    "score": "Rubric score {score}/100: {rating} ({quadrant}). {parts}.",
+    "knockout": "Rating capped at Neutral: {reason}.",
+    "scorecard": "Financial scorecard: {signals}",
+    "flags": "Financial flags: {flags}",
+    "summary": "Financial summary: {text}",
+    "risks": "{total} risk factors, average score {average}/5.",
+    "risk": "Risk {number} (score {score}, p. {page}): {headline}",
+    "promoters": "Promoters: {names}. {reason}, {pledged}.",
+    "pledged": "some shares pledged",
+    "not_pledged": "no shares pledged",
+    "pledge_unknown": "pledging not stated",
+    "offer": "Offer: fresh issue {fresh} ({unit}), offer for sale {sold} shares. Money for: {uses}.",
+    "cases": "Cases against the company, promoters and directors: {cases}; claims ₹{amount} m{share}.",
+    "report": "Report summary: {text}",
+}
 
 
 def fact(prefix: str, source: int, order: Column, text: Column, pages: Column | None = None) -> list[Column]:
@@ -58,6 +83,12 @@ def cite_points(points: DataFrame, facts: DataFrame, at_most: int = 3) -> DataFr
     return used.select("doc_id", "point_no", strip_inline_ids(F.col("text")).alias("text")).join(resolved, ["doc_id", "point_no"], "left")
 
 
+def joined(rows: DataFrame, key: str, order: str, text: Column, separator: str) -> DataFrame:
+    """(doc_id, <key>): the texts of a document's rows in order, as one; a document has at most a few dozen."""
+    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
+    return rows.groupBy("doc_id").agg(F.array_join(packed["t"], separator).alias(key))
+
+
 def analysis_digest(lines: list[DataFrame]) -> DataFrame:
     """One summary text per document from lines (doc_id, source, ord, text), in source order."""
     rows = reduce(DataFrame.unionByName, lines).where("text IS NOT NULL")
