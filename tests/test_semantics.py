@@ -206,3 +206,21 @@ def test_names_are_listed_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print('NAMES', len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
     assert "NAMES" in said.stdout, said.stderr[-500:]
+
+
+def test_plain_numbers(spark):
+    from prospectra.functions.columns import plain
+
+    values = [12.0, 0.1, 103155.34, 25000000.0, 12345678.9, 5e6 * 10, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(plain(F.col("v")).alias("t")).collect()
+    assert [r.t for r in rows] == [None if v is None else str(v) for v in values]
+
+
+def test_use_amounts_need_their_source(spark):
+    from prospectra.operators.offer import ground_objects
+
+    rows = spark.createDataFrame([(1, 1, "A plant", 250.5, "We spend 250.50 on a plant"), (1, 2, "A mill", 99.0, "We spend some on a mill"), (1, 3, "A road", None, "text"),
+                                  (1, 4, "A dam", 75.0, "")], "doc_id long, ord int, purpose string, amount double, source_text string")
+    found = {r.ord: (r.amount, r.warning) for r in ground_objects(rows).collect()}
+    assert found == {1: (250.5, None), 2: (None, "amount for 'A mill' (99.0) isn't in the excerpts, so it was left out"), 3: (None, None),
+                     4: (None, "amount for 'A dam' (75.0) isn't in the excerpts, so it was left out")}
