@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from prospectra.llm import common, embeddings, lm, packing, quality, sharding, simhash
+from prospectra.llm import common, embeddings, lm, near_copies, packing, quality, sharding, simhash
 from tests.llm.fixtures import EDGES, docs, prose
 
 SF = "/root/testdata/sf0.001"
@@ -302,6 +302,43 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frames[-1].count()
 
 
+def plain_shingles(text):
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = [*EDGES, (5, "one"), (None, "no id here"), (None, "only unnamed"), (None, "only  UNNAMED")]
+    for g in range(25):
+        words = prose(700 + g, 150, 5000).split()
+        for copy in range(8):
+            own = words if g % 2 else list(words)           # every second group drifts, so that its ends are unlike
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = f"changed{rng.randrange(10**6)}"
+            rows.append((1000 + 100 * g + copy, " ".join(own)))
+    rng.shuffle(rows)
+    sets = [plain_shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    whole = components(range(len(rows)), links)
+    groups = defaultdict(list)
+    for i, root in whole.items():
+        groups[root].append((rows[i][0] is None, rows[i][0], i))
+    want = Counter(rows[min(g)[2]][0] for g in groups.values())
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "")
+    assert Counter(r.doc_id for r in got.collect()) == want and got.columns == docs(spark, []).columns
+    assert sum(1 for i, j in links if sets[i] != sets[j]) > 100
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), "").count() == 0
+
+
+def test_near_copies_beyond_a_bands_smallest(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "near_sizes", lambda a, b: F.lit(True))
+    base = [prose(40, 60, 5000), prose(41, 60, 5000), prose(41, 60, 5000) + " more"]
+    sets = spark.createDataFrame([(i, 60, [7, 100 + i]) for i in range(3)], "node long, n long, bands array<long>")       # one shared band
+    found = near_copies.links(sets, spark.createDataFrame(list(enumerate(base)), "row long, text string"))
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
 @needs_tables
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
