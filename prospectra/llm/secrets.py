@@ -21,10 +21,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")       # a run from AKIA that is too short holds no longer one
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])++)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+BREAK = re.compile(r"(?:\s|\\+[nrt])+")         # white space, also escaped as in JSON or source text
+KEY_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")       # a DER sequence, the magic of OpenSSH
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+PADDING = re.compile(r"={0,2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:={1,2})?")
 HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+#: What follows a token's header; no payload, signature or header (20) of a token that is_signed_token takes is shorter.
+SIGNED = re.compile(r"\.(?=([A-Za-z0-9_-]{3,})\.([A-Za-z0-9_-]{43,}))")
+SIGNED_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 #: Bytes that the signature of each algorithm holds; 0: any number above 31.
@@ -130,6 +136,82 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     return size == SIGNATURE_BYTES[head["alg"]] or not SIGNATURE_BYTES[head["alg"]] and size >= 64
 
 
+def after_escape(text: str, at: int) -> bool:
+    """Whether an escaped line end or tab stands right before a place."""
+    return at >= 2 and text[at - 1] in "nrt" and text[at - 2] == "\\"
+
+
+def openssh_size(data: bytes) -> int | None:
+    """Where the fields of an OpenSSH private key end, which other data may follow."""
+    at, left, fields = len(b"openssh-key-v1\0"), None, 0
+    while left != 0 and at + 4 <= len(data):
+        value = int.from_bytes(data[at:at + 4], "big")
+        at += 4
+        if fields == 3:
+            left = value + 1                                    # the public keys and the private part
+        else:
+            at += value
+            left = left and left - 1
+        fields += 1
+    return at if left == 0 else None
+
+
+def der_size(data: bytes) -> int | None:
+    """Bytes of the DER sequence that begins here, if a version or an algorithm comes first in it."""
+    if len(data) < 9:
+        return None
+    size, at = data[1], 2
+    if size & 0x80:
+        at += size & 0x7F
+        if not 3 <= at <= 6:
+            return None
+        size = int.from_bytes(data[2:at], "big")
+    return at + size if data[at] == SEQUENCE or data[at:at + 2] == b"\x02\x01" else None
+
+
+def wrapped_key(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of the base64 key that begins at start, over lines that white space or escaped line ends part. Its own lengths say
+    where it ends; a line has to end there."""
+    is_der, need, held, ends = text[start] == "M", None, 0, {}
+    pieces: list[str] = []
+    at = start
+    while m := PIECE.match(text, at):
+        pieces.append(m[0])
+        held += len(m[0])
+        ends[held] = m.end()
+        if is_der and need is None and held >= 16:
+            size = der_size(decode64("".join(pieces)[:16]) or b"")
+            if size is None or size < 30:
+                return None
+            need = (size * 8 + 5) // 6
+        gap = BREAK.match(text, m.end())
+        if not gap or need is not None and held >= need:
+            break
+        at = gap.end()
+    run = "".join(pieces)
+    if not is_der and (size := openssh_size(decode64(run[:len(run) // 4 * 4]) or b"")):
+        need = (size * 8 + 5) // 6
+    if need not in ends or not (kind := key_kind(decode64(run[:need]))):
+        return None
+    return kind, PADDING.match(text, ends[need]).end()
+
+
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of signed tokens; what is left of a found one begins none."""
+    out, done = [], 0
+    for m in SIGNED.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in SIGNED_CHARACTERS:
+            start -= 1
+        starts = [start, start + 1] if after_escape(text, start + 1) else [start]
+        for a in starts:
+            if m.start() - a >= 20 and is_signed_token(text[a:m.start()], *m.groups()):
+                out.append((a, m.end(2)))
+                done = m.end(2)
+                break
+    return out
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets, by start and then kind; none in a null or empty text."""
     if not isinstance(text, str) or not text:
@@ -141,15 +223,20 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if kind := key_kind(decode64("".join(m[1].split()))):
+            if kind := key_kind(decode64(BREAK.sub("", m[1]))):
                 out.append((kind, *m.span()))
                 taken.append(m.span())
     for pattern, decode in ((BASE64, decode64), (HEX_BYTES, lambda run: bytes.fromhex(run) if len(run) % 2 == 0 else None)):
         for m in pattern.finditer(text):
             if not any(a <= m.start() < b for a, b in taken) and (kind := key_kind(decode(m[0]))):
                 out.append((kind, *m.span()))
-    if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in SIGNED.finditer(text) if is_signed_token(*m.groups())]
+                taken.append(m.span())
+    for m in KEY_START.finditer(text):
+        if (not PIECE.match(text, max(0, m.start() - 1), m.start()) or after_escape(text, m.start())) and not any(a <= m.start() < b for a, b in taken):
+            if key := wrapped_key(text, m.start()):
+                out.append((key[0], m.start(), key[1]))
+                taken.append((m.start(), key[1]))
+    out += [("jwt", *span) for span in signed_tokens(text)]
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -64,6 +64,31 @@ def test_unconfirmed_candidates():
     assert not any(k == "jwt" for k, _, _ in secrets.find(jwt("none") + " " + jwt("HS256", 12) + " eyJhbGciOiJI.eyJ.abc"))
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    "])
+@pytest.mark.parametrize("data", [rsa_key(), openssh_key()], ids=["der", "openssh"])
+def test_wrapped_and_escaped_keys(data, end):
+    kind = "openssh" if data.startswith(b"openssh") else "der"
+    for width in (40, 64, 76):
+        lines = end.join(re.findall(f".{{1,{width}}}", base64.b64encode(data).decode()))
+        armoured = f"-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY-----"
+        text = f'é {{"type": "service_account", "private_key": "{armoured}{end}", "id": "x"}}'
+        assert [text[a:b] for k, a, b in secrets.find(text) if k == kind] == [armoured]
+        for before, after in (("key:" + end, end + "More words follow"), ("", ""), ("M ", " ")):
+            text = before + lines + after
+            assert [text[a:b] for k, a, b in secrets.find(text) if k == kind] == [lines], (before, after)
+        assert not [k for k, _, _ in secrets.find(lines[:-9] + " " + lines[-5:] + end + "Words") if k == kind]
+
+
+def test_token_headers_are_judged_by_decoding():
+    url = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()      # noqa: E731
+    for head in (b'{ "alg":"HS256"}', b'{\n  "alg": "HS256"\n}', b' {"alg":"HS256"}', b'{\r\n"alg":"HS256"}', b'{"alg":"HS256"}'):
+        token = ".".join((url(head), url(b'{"sub":"1"}'), url(bytes(32))))
+        for before in ("", "www.example.", "\\n", "a b"[:2]):
+            text = before + token + ". End"
+            assert [text[a:b] for k, a, b in secrets.find(text) if k == "jwt"] == [token], (head, before)
+    assert not any(k == "jwt" for k, _, _ in secrets.find(".".join((url(b'["alg","HS256"]'), url(b"{}"), url(bytes(32))))))
+
+
 def test_base_secrets_by_brute_force():
     rng = random.Random(3)
     parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " ", "'", '"', "abc", "ABCDEF", "0f" * 13, "AKIA", "Z9" * 8, "\n", "ſecret", "toKen", "é", "."]
