@@ -21,22 +21,29 @@ PATTERN_WORDS = 4_000_000   # words of windows that one pass over the documents
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-    T.StructField("items", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.LongType())), T.StructField("unnamed", T.BooleanType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
 ])
 
 
+def in_order(item: int | None) -> tuple[bool, int]:
+    """Ascending, null last."""
+    return item is None, item or 0
+
+
 class Windows:
     """The distinct windows of some benchmark items over a vocabulary of their own; word 0 is any other word."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], width: int = SPAN_WORDS) -> None:
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], width: int = SPAN_WORDS) -> None:
         self.vocabulary: dict[bytes, int] = {}
         number: dict[tuple[int, ...], int] = {}
         pairs = set()
+        self.names = sorted({item for item, _ in items}, key=in_order)     # item_ids are places in it
+        places = {item: k for k, item in enumerate(self.names)}
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                pairs.add((number.setdefault(tuple(ids[at:at + width]), len(number)), item))
+                pairs.add((number.setdefault(tuple(ids[at:at + width]), len(number)), places[item]))
         self.lengths = np.array([len(w) for w in number], np.int64)
         self.words = np.zeros((len(number), width), np.int64)          # right-aligned: the search starts at the last word
         for i, w in enumerate(number):
@@ -163,7 +170,7 @@ def flat(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[owner], owner
 
 
-def search_shard(docs: list[list[bytes]], windows: Windows) -> list[tuple[list[int], list[tuple[int, int]]]]:
+def search_shard(docs: list[list[bytes]], windows: Windows) -> list[tuple[list[int | None], list[tuple[int, int]]]]:
     """Per document the items with an occurring window and the merged spans of words."""
     known = windows.vocabulary.get
     text = np.fromiter((known(w, 0) for words in docs for w in itertools.chain(words, (b"",))), np.int64, sum(map(len, docs)) + len(docs))
@@ -180,9 +187,9 @@ def search_shard(docs: list[list[bytes]], windows: Windows) -> list[tuple[list[i
     span_doc = np.searchsorted(starts, begins, "right") - 1
     pairs = np.unique(np.stack([doc, window]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
     items, owner = flat(windows.item_at[pairs[1]], windows.item_at[pairs[1] + 1])
-    out: list[tuple[list[int], list[tuple[int, int]]]] = [([], []) for _ in docs]
+    out: list[tuple[list[int | None], list[tuple[int, int]]]] = [([], []) for _ in docs]
     for d, item in sorted(set(zip(pairs[0][owner].tolist(), windows.item_ids[items].tolist()))):
-        out[d][0].append(item)
+        out[d][0].append(windows.names[item])
     for d, a, b in zip(span_doc.tolist(), begins.tolist(), ends.tolist()):
         out[d][1].append((a - int(starts[d]), b - int(starts[d])))
     return out
@@ -201,7 +208,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def batches_of_windows(benchmark: DataFrame) -> Iterator[Windows]:
     """The benchmark in parts of a bounded number of window words; one part is in memory at a time."""
     part, size = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id IS NOT NULL").toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         words = words_of(row.text)
         if part and size + len(words) * SPAN_WORDS > PATTERN_WORDS:
             yield Windows(part)
@@ -225,24 +232,25 @@ def shard_search(windows: Broadcast):
                 shard.append(w)
                 size += len(w) + 1
             results += search_shard(shard, windows.value) if shard else []
-            for k, (items, spans) in enumerate(zip(before["items"], before["spans"])):
+            for k, (items, unnamed, spans) in enumerate(zip(before["items"], before["unnamed"], before["spans"])):
                 if items is not None:
-                    results[k] = (sorted({*results[k][0], *items}), merged([*results[k][1], *((s["start"], s["end"]) for s in spans)]))
+                    results[k] = (sorted({*results[k][0], *items, *([None] if unnamed else [])}, key=in_order), merged([*results[k][1], *((s["start"], s["end"]) for s in spans)]))
             yield pd.DataFrame({
                 "n_words": [len(w) for w in words], "n_hit": [sum(b - a for a, b in r[1]) for r in results],
-                "items": [r[0] for r in results], "spans": [[{"start": a, "end": b} for a, b in r[1]] for r in results],
+                "items": [[i for i in r[0] if i is not None] for r in results], "unnamed": [None in r[0] for r in results], "spans": [[{"start": a, "end": b} for a, b in r[1]] for r in results],
             })
 
     return F.pandas_udf(search, FOUND)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, into: str = "found") -> DataFrame:
-    """docs with a struct column `into`: n_words, n_hit, items (ascending) and spans of words to remove (merged, end exclusive).
+    """docs with a struct column `into`: n_words, n_hit, items (ascending), unnamed (whether items without an id hit) and spans of words to
+    remove (merged, end exclusive).
 
     A shard is a run of a partition's documents. The benchmark is the stated query set: its windows go to the tasks in parts
     of at most PATTERN_WORDS words; a larger benchmark takes more passes over the documents' rows, which carry on
     what the earlier passes found. No row is shuffled. Null and empty texts have no words and no hits, an
-    empty benchmark hits nothing, items with a null id are left out, repeated items and rows count as they stand. Texts are
+    empty benchmark hits nothing, items with a null id hit but are not listed, repeated items and rows count as they stand. Texts are
     searched whole. Other columns of docs stay as they are; one named like `into` is replaced.
     """
     spark = docs.sparkSession
@@ -263,7 +271,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_benchmark(docs, read(spark, sf_dir, "benchmark")).drop("text")
     joined = F.array_join(F.array_sort(F.transform("found.items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+    return found.select("doc_id", "found.n_words", "found.n_hit", (F.size("found.items") + F.col("found.unnamed").cast("int")).cast("long").alias("n_items"),
                         F.sha2(joined, 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 

@@ -142,6 +142,22 @@ def test_decontamination_by_brute_force(spark, monkeypatch, part_words):
         assert all(a.end < b.start for a, b in zip(r.found.spans, r.found.spans[1:]))
 
 
+@pytest.mark.parametrize("part_words", [10**9, 60])
+def test_items_without_an_id_are_searched(spark, monkeypatch, tmp_path, part_words):
+    import duckdb
+    monkeypatch.setattr(decontamination, "PATTERN_WORDS", part_words)
+    items = [(None, prose(61, 20, 900)), (10, prose(62, 20, 900)), (None, prose(63, 20, 900)), (9, prose(61, 14, 900)), (0, "")]
+    rows = [(1, "a " + prose(61, 20, 900)), (2, prose(62, 20, 900) + " b " + prose(63, 20, 900)), (3, prose(64, 90, 900)), (4, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, decontamination.op2_decontamination(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == sorted(tuple(r) for r in db.sql(decontamination.OP2_SQL).fetchall())
+    assert [r[2] for r in got] == [20, 40, 0, 0] and [r[3] for r in got] == [2, 2, 0, 0]
+
+
 def test_decontamination_of_empty_tables(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_benchmark(docs(spark, []), nothing).count() == 0
