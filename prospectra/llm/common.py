@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import tempfile
@@ -43,6 +44,12 @@ def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+@functools.cache
+def folder_of(application: str) -> str:
+    """A temporary folder for a local session."""
+    return "file://" + tempfile.mkdtemp(prefix=f"prospectra-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; without that setting a local session gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -50,9 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="prospectra-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return folder_of(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame) -> DataFrame:

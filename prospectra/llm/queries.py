@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from prospectra.llm import chat, decontamination, embeddings, lm, packing, pii, quality, secrets, sharding, simhash
+from prospectra.llm import chat, decontamination, embeddings, lm, packing, pii, quality, secrets, sharding, simhash, whitening
 from prospectra.plans.registry import Registry
 
 
@@ -18,4 +18,5 @@ def register(registry: Registry) -> None:
     registry.add("op8_lm_score", lm.op8_lm_score, lm.OP8_SQL)
     registry.add("op9_personal_data", pii.op9_personal_data)
     registry.add("op10_packing", packing.op10_packing)
+    registry.add("op11_whitening", whitening.op11_whitening)
     registry.add("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
