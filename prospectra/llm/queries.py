@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from prospectra.llm import chat, decontamination, embeddings, lexical, lm, packing, pii, quality, secrets, sharding, simhash, whitening
+from prospectra.llm import chat, decontamination, embeddings, lexical, lm, packing, pii, quality, secrets, sharding, simhash, sketches, whitening
 from prospectra.plans.registry import Registry
 
 
@@ -19,5 +19,6 @@ def register(registry: Registry) -> None:
     registry.add("op9_personal_data", pii.op9_personal_data)
     registry.add("op10_packing", packing.op10_packing)
     registry.add("op11_whitening", whitening.op11_whitening)
+    registry.add("op12_fingerprints", sketches.op12_fingerprints)
     registry.add("op13_lexical_search", lexical.op13_lexical_search, lexical.OP13_SQL)
     registry.add("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
