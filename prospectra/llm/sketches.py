@@ -47,15 +47,16 @@ def cell(digest: Column, part: int, cells: Column, attempt: int) -> Column:
     return bits.bitwiseAND((cells - 1).cast("long")).cast("int") + cells * part
 
 
-def fingerprint(digest_array: Column) -> Column:
-    """A text's table of PARTS * CELLS cells as one string: per cell the count and the digests' exclusive or."""
+def fingerprint(text: Column, digest_array: Column) -> Column:
+    """A hash of the whole text, which tells texts of equal paragraphs apart, and its table of PARTS * CELLS cells: per cell the count and
+    the digests' exclusive or."""
     placed = F.transform(digest_array, lambda d: F.struct(d.alias("d"), F.array(*(cell(d, part, F.lit(CELLS), 0) for part in range(PARTS))).alias("at")))
 
     def shown(i: Column) -> Column:
         own = F.transform(F.filter(F.get(F.array(placed), F.lit(0)), lambda e: F.array_contains(e["at"], i)), lambda e: e["d"])
         return F.concat(F.size(own).cast("string"), F.lit(":"), F.hex(F.aggregate(own, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS * CELLS - 1)), shown), ".")
+    return F.concat_ws(".", F.hex(F.xxhash64(text)), F.transform(F.sequence(F.lit(0), F.lit(PARTS * CELLS - 1)), shown))
 
 
 def summed(rows: DataFrame, keys: list[str], carry: str) -> DataFrame:
@@ -173,8 +174,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows. Each try is a written table, and only what stalled in it is tried again.
     """
     rows = edited_pairs(docs).select("id", "row", "doc_id", "text", "edited", "others", digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"))
-    wide = F.struct("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"),
-                    fingerprint(F.col("changed")).alias("edited_fingerprint"))
+    wide = F.struct("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text"), F.col("own")).alias("fingerprint"),
+                    fingerprint(F.col("edited"), F.col("changed")).alias("edited_fingerprint"))
     rows = rows.select("id", "row", "own", "changed", "others", wide.alias("wide"))
     tables: list[DataFrame] = []
     while not tables or rows.limit(1).count():

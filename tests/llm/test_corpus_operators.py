@@ -343,5 +343,5 @@ def test_near_copies_beyond_a_bands_smallest(spark, monkeypatch):
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
