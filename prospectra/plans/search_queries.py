@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
 from prospectra.operators import retrieval as R
+from prospectra.operators.search_index import SearchIndex
 from prospectra.plans.chunk_queries import chunks_sql, document_chunks
 from prospectra.plans.inputs import table
 from prospectra.plans.registry import Registry, shared
 from prospectra.plans.text_queries import TOKENS_SQL
+from prospectra.sources.folders import shared_folder, state_of
+from prospectra.sources.versions import CommitConflict
 
 
 def vectors(spark, sf):
@@ -38,8 +43,41 @@ def vector_index(spark, sf):
         vectors(spark, sf).select(F.col("vec_id").alias("item_id"), "embedding", F.col("label").alias("section")), "item_id", "left")
 
 
+PASSAGE = ["doc_id", "chunk_id"]
+
+
+def open_index(spark, folder):
+    return SearchIndex(spark, f"{shared_folder(spark)}/{folder}", PASSAGE, payload=["page"])
+
+
+@shared
+def corpus_index(spark, sf):
+    """The stored index of the passages of `documents`, built by the first query that needs it and found by the state of the table's files."""
+    index = open_index(spark, f"index-{state_of(spark, f'{sf}/documents.parquet')[:32]}")
+    if not index.version:
+        try:
+            index.append(passages(spark, sf).select(*PASSAGE, "page", "text"))
+        except CommitConflict:
+            index.refresh()
+    return index
+
+
+def updated_index(spark, sf):
+    """An index that has grown in batches, lost documents, had some replaced, and was merged."""
+    index = open_index(spark, f"index-{uuid.uuid4().hex}")
+    rows = passages(spark, sf).select(*PASSAGE, "page", "text")
+    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    index.append(rows.where("doc_id % 10 < 8").withColumn("text", F.when(F.col("doc_id") % 10 == 7, F.concat(F.lit("outdated "), "text")).otherwise(F.col("text"))))
+    index.append(rows.where("doc_id % 10 = 8"))
+    index.delete(toxic)
+    index.append(rows.where("doc_id % 10 = 9").join(toxic, "doc_id", "left_anti"))
+    index.replace(rows.where("doc_id % 10 = 7").join(toxic, "doc_id", "left_anti"))
+    index.merge(index.totals()[0] // 2)
+    return index
+
+
 def bm25_hits(spark, sf, k=V.CANDIDATES_PER_LIST):
-    return R.bm25_search(questions(spark, sf), R.passage_terms(passages(spark, sf).drop("page")), ["doc_id", "chunk_id"], k)
+    return corpus_index(spark, sf).search(questions(spark, sf), k)
 
 
 def knn_hits(spark, sf):
@@ -104,10 +142,12 @@ def register(r: Registry) -> None:
            FROM vec a JOIN vec b ON b.label IN (a.label, (a.label + 1) % 10) WHERE a.vec_id % 50 = 0)
         SELECT query_id, item_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS INT) AS rank
         FROM pairs QUALIFY rank <= 50""")
-    r.add("bm25_index", lambda spark, sf: R.bm25_terms(R.bm25_statistics(R.passage_terms(passages(spark, sf).drop("page")))).withColumn(
-        "idf", F.round("idf", 8)), f"WITH {CHUNK_BM25_SQL} SELECT term, df, round(idf, 8) AS idf FROM idf")
+    r.add("bm25_index", lambda spark, sf: corpus_index(spark, sf).terms().select("term", "df", F.round("idf", 8).alias("idf")), f"WITH {CHUNK_BM25_SQL} SELECT term, df, round(idf, 8) AS idf FROM idf")
     r.add("bm25_search", lambda spark, sf: bm25_hits(spark, sf).withColumn("score", F.round("score", 6)),
           f"WITH {CHUNK_BM25_SQL} SELECT query_id, doc_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm25")
+    r.add("index_updates", lambda spark, sf: updated_index(spark, sf).search(questions(spark, sf)).withColumn("score", F.round("score", 6)), f"""
+        WITH documents AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {CHUNK_BM25_SQL}
+        SELECT query_id, doc_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm25""")
     r.add("rrf_fuse", lambda spark, sf: R.hybrid_search(vector_questions(spark, sf), vector_index(spark, sf), V.CANDIDATES_PER_LIST),
           f"WITH {hybrid_sql(False, 50)} SELECT query_id, item_id, rank, score, similarity FROM fused")
     r.add("hybrid_search", lambda spark, sf: R.hybrid_search(
@@ -116,7 +156,7 @@ def register(r: Registry) -> None:
 
     def cited(spark, sf):
         hits = bm25_hits(spark, sf, V.TOP_K_GENERAL)
-        return R.citations(hits, passages(spark, sf), ["doc_id", "chunk_id"]).select(
+        return R.citations(hits, corpus_index(spark, sf).passages(), PASSAGE).select(
             "query_id", "rank", F.col("doc_id").cast("string").alias("filename"), "page", "chunk_id", "text_preview",
             F.round("score", 6).alias("score"))
 
@@ -124,7 +164,7 @@ def register(r: Registry) -> None:
         WITH {CHUNK_BM25_SQL} SELECT query_id, CAST(rank AS INT) AS rank, CAST(doc_id AS VARCHAR) AS filename, page, chunk_id,
           left(text, 200) AS text_preview, round(score, 6) AS score FROM bm25 JOIN chunks USING (doc_id, chunk_id) WHERE rank <= 5""")
     r.add("context_block", lambda spark, sf: R.context_block(
-        bm25_hits(spark, sf, V.TOP_K_GENERAL).join(passages(spark, sf), ["doc_id", "chunk_id"])), f"""
+        bm25_hits(spark, sf, V.TOP_K_GENERAL).join(corpus_index(spark, sf).passages(), PASSAGE)), f"""
         WITH {CHUNK_BM25_SQL}, top AS (SELECT * FROM bm25 JOIN chunks USING (doc_id, chunk_id) WHERE rank <= 5)
         SELECT query_id, string_agg('[Source ' || rank || ': ' || doc_id || ', Page ' || page || ']' || chr(10) || text,
             chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context,
