@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
 from prospectra.functions.text import preview, similarity_from_distance, tokenise
+from prospectra.operators.cells import Cells
 from prospectra.operators.ordered import last_before, id_bucket, spread_join
 
-QUERIES_PER_BLOCK = 1024
-
-
 def l2_normalise(vector: Column) -> Column:
     """The vector scaled to unit length (a zero vector stays as it is)."""
     values = F.transform(vector, lambda x: x.cast("double"))
@@ -27,77 +21,16 @@ def l2_normalise(vector: Column) -> Column:
 
 
 # ------------------------------------------------------------------ vectors
-def _pack_vectors(has_group: bool):
-    """Arrow batches to one row per batch (and group): ids and one flat vector buffer."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            groups = batch.column("grp").to_numpy(zero_copy_only=False)
-            ids = batch.column("item_id").to_numpy(zero_copy_only=False)
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            matrix = flat.reshape(len(ids), -1)
-            values = np.unique(groups) if has_group else groups[:1]
-            rows = [groups == g for g in values] if has_group else [slice(None)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values, pa.int64()), pa.array([ids[r] for r in rows], pa.list_(pa.int64())),
-                 pa.array([matrix[r].ravel() for r in rows], pa.list_(pa.float32()))],
-                names=["grp", "ids", "vectors"])
-    return pack
-
-
-def _score_blocks(k: int, metric: str):
-    """Best k of one packed corpus block for every query of one query block."""
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for q_ids, q_flat, ids, flat in zip(frame["q_ids"], frame["q_vectors"], frame["ids"], frame["vectors"]):
-                ids = np.asarray(ids)
-                q = np.asarray(q_flat, dtype=np.float64).reshape(len(q_ids), -1)
-                c = np.asarray(flat, dtype=np.float64).reshape(len(ids), -1)
-                value = q @ c.T
-                if metric == "l2":
-                    value = np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * value, 0.0)
-                else:
-                    value = -value
-                value = np.round(value, 9)
-                take = min(k, len(ids))
-                out_q, out_id, out_v = [], [], []
-                for row, q_id in enumerate(q_ids):
-                    v = value[row]
-                    worst = np.partition(v, take - 1)[take - 1]
-                    near = np.nonzero(v <= worst)[0]          # keeps ties at the cut, ordered by id below
-                    near = near[np.lexsort((ids[near], v[near]))][:take]
-                    out_q.append(np.full(len(near), q_id))
-                    out_id.append(ids[near])
-                    out_v.append(v[near])
-                yield pd.DataFrame({"query_id": np.concatenate(out_q), "item_id": np.concatenate(out_id),
-                                    "value": np.concatenate(out_v) + 0.0})
-    return score
-
-
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, group: str | None = None) -> DataFrame:
     """Exact k nearest items of every query: (query_id, item_id, rank, value).
 
-    Only packed blocks of vectors meet each other, through an equi-join on the block number
-    (and `group`, the allowed section, when given); each pair of blocks is one matrix product
-    that emits at most k rows per query. Spark chooses by size whether the query blocks are
-    broadcast or shuffled. `queries` has query_id, embedding; `corpus` has item_id, embedding.
+    `queries` has query_id, embedding; `corpus` has item_id, embedding; with `group`, the allowed section, a query meets the items of its
+    sections only (one row for each). Items are dealt into cells, and a query looks only into those that can hold one of its best.
     """
     grp = F.col(group).cast("long") if group else F.lit(0).cast("long")
-    blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
-    packed_queries = (
-        queries.select(grp.alias("grp"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-                       F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("v"))
-        .groupBy("grp", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
-        .select("grp", "block", F.col("q.query_id").alias("q_ids"), F.flatten("q.v").alias("q_vectors")))
-    packed_corpus = (
-        corpus.select(grp.alias("grp"), F.col("item_id").cast("long").alias("item_id"),
-                      F.col("embedding").cast("array<float>").alias("embedding"))
-        .mapInArrow(_pack_vectors(group is not None), "grp long, ids array<long>, vectors array<float>")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
-    best = (packed_corpus.join(packed_queries, ["grp", "block"])
-            .select("q_ids", "q_vectors", "ids", "vectors")
-            .mapInPandas(_score_blocks(k, metric), "query_id long, item_id long, value double"))
+    vector = F.col("embedding").cast("array<float>").alias("e")
+    cells = Cells(corpus.select(F.col("item_id").cast("long").alias("item_id"), grp.alias("grp"), vector), metric)
+    best = cells.nearest(queries.select(F.col("query_id").cast("long").alias("query_id"), grp.alias("grp"), vector), k)
     order = Window.partitionBy("query_id").orderBy("value", "item_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("value", F.col("value") if metric == "l2" else 0.0 - F.col("value"))
