@@ -30,6 +30,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def sampled(key: str, share: float) -> Column:
+    """Whether a row is in a sample of that share of all keys, by hashes: 10^15 steps, so that a bounded sample of any table exists."""
+    coarse, fine = F.pmod(F.xxhash64(key), F.lit(10**6)), F.pmod(F.xxhash64(key, F.lit("fine")), F.lit(10**9))
+    return coarse * 10**9 + fine < F.lit(round(share * 10**15))
+
+
 def text_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prospectra.llm.common import read, small_batches
+from prospectra.llm.common import read, sampled, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (None, *KINDS)                 # the field's labels; 0 is no personal data
@@ -225,7 +225,7 @@ def training_nodes(texts: pd.Series) -> pd.DataFrame:
 def fit(docs: DataFrame) -> Field:
     """The field from about TRAINING_DOCS documents. Equal nodes and equal edges are counted before they reach the driver."""
     share = min(1.0, TRAINING_DOCS / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000)).select(training_nodes("text").alias("t"))
+    sample = docs.where(sampled("doc_id", share)).select(training_nodes("text").alias("t"))
     nodes = sample.select(F.explode("t.nodes").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").limit(TRAINING_DOCS).collect()
     edges = sample.select(F.explode("t.pairs").alias("p")).groupBy("p").count().collect()
     k = len(LABELS)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prospectra.llm.common import WORD_BYTES, attach, read, small_batches, text_bytes, written
+from prospectra.llm.common import WORD_BYTES, attach, read, sampled, small_batches, text_bytes, written
 
 TRAINING_ROWS = 8_000      # labelled rows that the text model is fitted on, about (a hash of doc_id picks them)
 LEAST_DOCS, LEAST_Z, LEAST_LIFT = 5, 5.0, 5.0     # a word counts if so many rows have it and the classes differ that clearly
@@ -95,18 +95,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, Head]:
     is left out. Only the sample's evidence reaches the driver."""
     known = labels.where("doc_id IS NOT NULL").select("doc_id", *HEADS)
     share = min(1.0, TRAINING_ROWS / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))      # bounded, so it may be broadcast
+    sample = known.where(sampled("doc_id", share))      # bounded, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(*HEADS, packed_evidence("text").alias("e")).select(*HEADS, "e.*").collect()
     heads: dict[str, Head] = {}
     if not rows:
         return heads
-    sizes = [len(r.hashes) // 4 for r in rows]
-    vocabulary, words = np.unique(np.frombuffer(b"".join(r.hashes for r in rows), np.uint32), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    # Words that too few rows have can never count; without them little is left to hold.
+    flat = np.frombuffer(b"".join(r.hashes for r in rows), np.uint32)
+    vocabulary, held = np.unique(flat, return_counts=True)
+    vocabulary = vocabulary[held >= LEAST_DOCS]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.hashes) // 4 for r in rows])
     shapes = np.array([np.frombuffer(r["shape"], np.float32) for r in rows], np.float64)
+    truths = {head: [r[head] for r in rows] for head in HEADS}
+    del rows
+    kept = np.isin(flat, vocabulary)
+    words, owner = np.searchsorted(vocabulary, flat[kept]).astype(np.int32), owner[kept]
+    del flat, kept, held
     for head in HEADS:
-        known = np.array([r[head] is not None for r in rows])
-        truth = np.array([float(bool(r[head])) for r in rows])
+        known = np.array([t is not None for t in truths[head]])
+        truth = np.array([float(bool(t)) for t in truths[head]])
         if 0 < truth[known].sum() < known.sum():
             own = known[owner]
             heads[head] = fit_head((np.cumsum(known) - 1)[owner[own]], words[own], vocabulary, shapes[known], truth[known])

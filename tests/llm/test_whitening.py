@@ -132,3 +132,12 @@ def test_shared_folder_without_the_setting(monkeypatch):
     monkeypatch.setattr(Session.sparkContext, "master", "spark://far:7077")
     with pytest.raises(ValueError):
         common.shared_dir(Session)
+
+
+def test_samples_exist_at_any_size(spark):
+    ids = spark.range(200_000).toDF("doc_id")
+    assert ids.where(common.sampled("doc_id", 1.0)).count() == 200_000 and ids.where(common.sampled("doc_id", 0.0)).count() == 0
+    assert 900 < ids.where(common.sampled("doc_id", 0.005)).count() < 1100
+    share = 8_000 / 10**11                                              # of a table of 10^11 rows
+    assert round(share * 10**15) == 80_000_000 and common.sampled("doc_id", share) is not None
+    assert 0 < spark.range(30_000_000).toDF("doc_id").where(common.sampled("doc_id", 2e-7)).count() < 20
