@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from prospectra.operators import conversation as C
 from prospectra.plans.inputs import check_sql, derived, table
 from prospectra.plans.registry import Registry
-from prospectra.sources import layout, tables, text_files
+from prospectra.sources import layout, store, tables, text_files
+from prospectra.sources.folders import shared_folder
 
 
 def register(r: Registry) -> None:
@@ -70,6 +73,49 @@ def register(r: Registry) -> None:
         WITH {check_sql('stored_chunks')}, {keys_sql}
         SELECT d.domain, d.filename, count(c.chunk_id) AS removed FROM (SELECT DISTINCT * FROM doomed) d
         LEFT JOIN stored_chunks c ON c.domain = d.domain AND c.filename = d.filename GROUP BY ALL""")
+    def updated_store(spark, sf):
+        """Every document with its chunks and results, the labelled ones replaced, the toxic ones deleted."""
+        chunks = derived(spark, sf, "stored_chunks")
+        kept = {"documents": "domain string, filename string, n_chars long", "chunks": "domain string, filename string, chunk_id long, page long, text string",
+                "results": "domain string, filename string, agent string, value string"}
+        documents = table(spark, sf, "documents").select(F.concat(F.lit("src"), F.col("doc_id") % 20).alias("domain"), F.col("doc_id").cast("string").alias("filename"),
+                                                         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "lang", "source")
+        results = documents.select("domain", "filename", F.inline(F.array(*(F.struct(F.lit(c).alias("agent"), F.col(c).alias("value")) for c in ("lang", "source")))))
+        as_long = lambda df: df.select("domain", "filename", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("page").cast("long").alias("page"), "text")
+        held = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", kept, buckets=16)
+        held.replace({"documents": documents.drop("doc_id", "lang", "source"), "chunks": as_long(chunks), "results": results})
+        labelled = documents.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+        held.replace({"documents": labelled.select("domain", "filename", (F.col("n_chars") + 1).alias("n_chars")), "chunks": as_long(incoming(spark, sf))})
+        before = held.snapshot()
+        held.delete(doomed(spark, sf))
+        return held, before
+
+    def store_updates(spark, sf):
+        now = updated_store(spark, sf)[0].snapshot()
+        count = lambda name, total: now.read(name).groupBy("domain", "filename").agg(       # noqa: E731
+            F.count("*").alias("rows"), F.sum(total).alias("total")).withColumn("part_of", F.lit(name))
+        return count("documents", "n_chars").unionByName(count("chunks", "chunk_id")).unionByName(count("results", F.length("value").cast("long")))
+
+    r.add("store_updates", store_updates, f"""
+        WITH {check_sql('stored_chunks')}, labelled AS (SELECT doc_id FROM labels), {keys_sql},
+        docs AS (SELECT 'src' || (doc_id % 20) AS domain, CAST(doc_id AS VARCHAR) AS filename, * FROM documents),
+        left_docs AS (SELECT * FROM docs WHERE (domain, filename) NOT IN (SELECT domain, filename FROM doomed))
+        SELECT domain, filename, count(*) AS rows, CAST(sum(n_chars + CASE WHEN doc_id IN (FROM labelled) THEN 1 ELSE 0 END) AS BIGINT) AS total, 'documents' AS part_of FROM left_docs GROUP BY ALL
+        UNION ALL SELECT domain, filename, count(*), CAST(sum(chunk_id) AS BIGINT), 'chunks' FROM stored_chunks
+          WHERE (domain, filename) NOT IN (SELECT domain, filename FROM doomed) AND (doc_id NOT IN (FROM labelled) OR chunk_id % 2 = 0) GROUP BY ALL
+        UNION ALL SELECT domain, filename, 2, length(lang) + length(source), 'results' FROM left_docs WHERE doc_id NOT IN (FROM labelled)""")
+
+    def store_removals(spark, sf):
+        held, before = updated_store(spark, sf)
+        return held.removed(doomed(spark, sf), before)
+
+    r.add("store_removals", store_removals, f"""
+        WITH {check_sql('stored_chunks')}, {keys_sql}, asked AS (SELECT DISTINCT * FROM doomed),
+        chunks AS (SELECT domain, filename, count(*) AS n FROM stored_chunks WHERE chunk_id % 2 = 0 GROUP BY ALL),
+        docs AS (SELECT 'src' || (doc_id % 20) AS domain, CAST(doc_id AS VARCHAR) AS filename, count(*) AS n FROM documents GROUP BY ALL)
+        SELECT domain, filename, 'documents' AS "table", coalesce(n, 0) AS removed FROM asked LEFT JOIN docs USING (domain, filename)
+        UNION ALL SELECT domain, filename, 'chunks', coalesce(n, 0) FROM asked LEFT JOIN chunks USING (domain, filename)
+        UNION ALL SELECT domain, filename, 'results', 0 FROM asked""")
     r.add("list_documents", lambda spark, sf: tables.list_documents(
         derived(spark, sf, "stored_chunks"), F.substring("domain", F.lit(4), F.lit(9)).cast("int")), f"""
         WITH {check_sql('stored_chunks')} SELECT domain, filename, count(*) AS chunks, max(page) AS pages FROM stored_chunks GROUP BY ALL""")
