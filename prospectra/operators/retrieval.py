@@ -11,6 +11,7 @@ from prospectra.functions import fixed_values as V
 from prospectra.functions.text import preview, similarity_from_distance, tokenise
 from prospectra.operators.cells import Cells
 from prospectra.operators.ordered import last_before, id_bucket, spread_join
+from prospectra.operators.search_index import SearchIndex
 
 def l2_normalise(vector: Column) -> Column:
     """The vector scaled to unit length (a zero vector stays as it is)."""
@@ -122,16 +123,20 @@ def rrf_fuse(dense: DataFrame, keyword: DataFrame, item: str, k: int) -> DataFra
             .select("query_id", item, "rank", F.round("fused", 4).alias("score"), F.round("similarity", 3).alias("similarity")))
 
 
-def hybrid_search(questions: DataFrame, index: DataFrame, k: int = V.TOP_K_GENERAL, group: str | None = None) -> DataFrame:
+def hybrid_search(questions: DataFrame, index: DataFrame, keywords: SearchIndex, k: int = V.TOP_K_GENERAL, group: str | None = None) -> DataFrame:
     """Dense and keyword candidates of every question, fused.
 
-    `questions`: query_id, text, embedding; `index`: item_id, text, embedding (and the group column,
-    which then limits each question to its own group). Items without a vector are found by keywords only.
+    `questions`: query_id, text, embedding; `index`: item_id, embedding; `keywords`: the stored index of the items' texts. With `group`, a
+    question meets the items of its own groups only (one row for each), or of all if it has none. Items without a vector are found by
+    keywords only, and questions without one are answered by keywords only.
     """
-    dense = knn_ip(questions, index.where(F.col("embedding").isNotNull()), V.CANDIDATES_PER_LIST, group)
-    groups = [group] if group else []
-    keyword = bm25_search(questions, passage_terms(index.select("item_id", *groups, "text")), ["item_id"],
-                          V.CANDIDATES_PER_LIST, group)
+    dense = knn_ip(questions.where(F.col("embedding").isNotNull()), index.where(F.col("embedding").isNotNull()), V.CANDIDATES_PER_LIST, group)
+    asked = questions.select("query_id", "text", *([group] if group else []))
+    if group:
+        free = keywords.search(asked.where(F.col(group).isNull()).drop(group), V.CANDIDATES_PER_LIST, limited=False)
+        keyword = keywords.search(asked.where(F.col(group).isNotNull()), V.CANDIDATES_PER_LIST).unionByName(free)
+    else:
+        keyword = keywords.search(asked, V.CANDIDATES_PER_LIST, limited=False)
     return rrf_fuse(dense, keyword, "item_id", k)
 
 

@@ -148,19 +148,20 @@ class SearchIndex:
         floor = V.BM25_IDF_FLOOR * held.agg(F.avg("raw")).scalar()
         return held.withColumn("idf", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))).drop("raw")
 
-    def search(self, questions: DataFrame, k: int = V.CANDIDATES_PER_LIST) -> DataFrame:
+    def search(self, questions: DataFrame, k: int = V.CANDIDATES_PER_LIST, limited: bool = True) -> DataFrame:
         """Best k passages per question: (query_id, *ids, rank, score). questions: query_id, text and the groups, one row for each group that
-        the question is allowed (all statistics are the whole index's).
+        the question is allowed (all statistics are the whole index's); with limited false, groups play no part.
 
         The rarest terms give some passages a part of their score, and the k-th best part is a threshold. Terms are then taken from the
         highest bound down until what is left cannot reach it: only passages with a taken term can be among the best. Where these are few,
         only they are scored in full; a question whose common words alone could reach the threshold is scored over all its postings.
         """
+        groups = self.groups if limited else []
         n, words = self.totals()
         average = words / n if n else 1.0
         terms = self.terms()
-        asked = (questions.select("query_id", *self.groups, F.explode(tokenise(F.col("text"))).alias("term"))
-                 .groupBy("query_id", *self.groups, "term").agg(F.count("*").alias("qtf")).join(terms, "term"))
+        asked = (questions.select("query_id", *groups, F.explode(tokenise(F.col("text"))).alias("term"))
+                 .groupBy("query_id", *groups, "term").agg(F.count("*").alias("qtf")).join(terms, "term"))
 
         def part(tf: Column, dl: Column) -> Column:
             return F.col("qtf") * F.col("idf") * (tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / average)))
@@ -172,7 +173,7 @@ class SearchIndex:
             F.sum("bound").over(of_query.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
             F.coalesce(F.sum("df").over(of_query.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rarer"))
         postings = self._live(self.parts, "postings").drop("place").join(asked.select("term").distinct(), "term", "left_semi")
-        on = ["term", *self.groups]
+        on = ["term", *groups]
         row = ["query_id", *self.ids]
         seeds = asked.join(bounded.where(F.col("rarer") < SEEDS * k).select("query_id", "term"), ["query_id", "term"], "left_semi")
         partial = postings.join(seeds, on).groupBy(*row).agg(F.sum(part(F.col("tf"), F.col("dl"))).alias("part"))

@@ -33,7 +33,7 @@ def passages(spark, sf):
 @shared
 def vector_questions(spark, sf):
     return questions(spark, sf).join(vectors(spark, sf).select(
-        F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("section")), "query_id")
+        F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("section")), "query_id", "left")
 
 
 @shared
@@ -50,18 +50,31 @@ def open_index(spark, folder):
     return SearchIndex(spark, f"{shared_folder(spark)}/{folder}", PASSAGE, payload=["page"])
 
 
-@shared
-def corpus_index(spark, sf):
-    """The stored index of the passages of `documents`, built by the first query that needs it and found by the state of the table's files."""
-    index = open_index(spark, f"index-{state_of(spark, f'{sf}/documents.parquet')[:32]}")
+def built(index, rows):
+    """An index that holds rows, built now unless it has been before."""
     if not index.version:
         try:
-            index.append(passages(spark, sf).select(*PASSAGE, "page", "text"))
+            index.append(rows)
         except CommitConflict:
             index.refresh()
     return index
 
 
+@shared
+def corpus_index(spark, sf):
+    """The stored index of the passages of `documents`, built by the first query that needs it and found by the state of the table's files."""
+    index = open_index(spark, f"index-{state_of(spark, f'{sf}/documents.parquet')[:32]}")
+    return built(index, passages(spark, sf).select(*PASSAGE, "page", "text"))
+
+
+@shared
+def document_index(spark, sf):
+    """The stored index of whole documents, by section."""
+    state = "".join(state_of(spark, f"{sf}/{name}.parquet")[:16] for name in ("documents", "embeddings"))
+    index = SearchIndex(spark, f"{shared_folder(spark)}/index-documents-{state}", ["item_id"], groups=["section"])
+    return built(index, vector_index(spark, sf).select("item_id", "section", "text"))
+
+
 def updated_index(spark, sf):
     """An index that has grown in batches, lost documents, had some replaced, and was merged."""
     index = open_index(spark, f"index-{uuid.uuid4().hex}")
@@ -96,7 +109,7 @@ knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, it
 def bm25_sql(passage_source: str, ids: str, question_source: str, group: str = "") -> str:
     """Term statistics and scores of the checking engine. passage_source: ids, [group,] text."""
     g = f", {group}" if group else ""
-    match = f" AND p.{group} = q.{group}" if group else ""
+    match = f" AND (p.{group} = q.{group} OR q.{group} IS NULL)" if group else ""
     return f"""tok AS (SELECT {ids}{g}, {TOKENS_SQL.format(text='text')} AS terms FROM {passage_source}),
 corpus AS (SELECT count(*) AS n, sum(len(terms)) / count(*) AS avgdl FROM tok),
 post AS (SELECT {ids}{g}, dl, term, count(*) AS tf FROM (SELECT {ids}{g}, len(terms) AS dl, unnest(terms) AS term FROM tok) GROUP BY ALL),
@@ -110,7 +123,7 @@ bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 QUESTIONS_SQL = "questions AS (SELECT item_id AS query_id, text FROM benchmark)"
 CHUNK_BM25_SQL = f"{chunks_sql('chunks', *V.GENERAL_CHUNKS)}, {QUESTIONS_SQL}, {bm25_sql('chunks', 'doc_id, chunk_id', 'questions')}"
-HYBRID_BASE_SQL = f"""{VEC_SQL}, vq AS (SELECT b.item_id AS query_id, text, e, label AS section FROM benchmark b JOIN vec ON vec_id = b.item_id),
+HYBRID_BASE_SQL = f"""{VEC_SQL}, vq AS (SELECT b.item_id AS query_id, text, e, label AS section FROM benchmark b LEFT JOIN vec ON vec_id = b.item_id),
 vi AS (SELECT doc_id AS item_id, text, e, label AS section FROM documents LEFT JOIN vec ON vec_id = doc_id)"""
 
 
@@ -118,7 +131,7 @@ def hybrid_sql(group: bool, k: int) -> str:
     on = "vq.section = vi.section" if group else "TRUE"
     return f"""{HYBRID_BASE_SQL}, {bm25_sql('vi', 'item_id', 'vq', 'section' if group else '')},
 dense AS (SELECT query_id, item_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank
-  FROM (SELECT query_id, item_id, round(list_inner_product(vq.e, vi.e), 9) AS similarity FROM vq JOIN vi ON {on} WHERE vi.e IS NOT NULL) QUALIFY rank <= 50),
+  FROM (SELECT query_id, item_id, round(list_inner_product(vq.e, vi.e), 9) AS similarity FROM vq JOIN vi ON {on} WHERE vi.e IS NOT NULL AND vq.e IS NOT NULL) QUALIFY rank <= 50),
 lists AS (SELECT query_id, item_id, rank, similarity, 0 AS l FROM dense UNION ALL SELECT query_id, item_id, rank, NULL, 1 FROM bm25),
 fusedraw AS (SELECT query_id, item_id, sum(1.0 / (60 + rank)::DOUBLE) AS fused, max(similarity) AS similarity, min(l * 100 + rank) AS first FROM lists GROUP BY ALL),
 fused AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first) AS INT) AS rank,
@@ -148,10 +161,10 @@ def register(r: Registry) -> None:
     r.add("index_updates", lambda spark, sf: updated_index(spark, sf).search(questions(spark, sf)).withColumn("score", F.round("score", 6)), f"""
         WITH documents AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {CHUNK_BM25_SQL}
         SELECT query_id, doc_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm25""")
-    r.add("rrf_fuse", lambda spark, sf: R.hybrid_search(vector_questions(spark, sf), vector_index(spark, sf), V.CANDIDATES_PER_LIST),
+    r.add("rrf_fuse", lambda spark, sf: R.hybrid_search(vector_questions(spark, sf), vector_index(spark, sf).drop("text"), document_index(spark, sf), V.CANDIDATES_PER_LIST),
           f"WITH {hybrid_sql(False, 50)} SELECT query_id, item_id, rank, score, similarity FROM fused")
     r.add("hybrid_search", lambda spark, sf: R.hybrid_search(
-        vector_questions(spark, sf), vector_index(spark, sf), V.TOP_K_OFFER, "section"),
+        vector_questions(spark, sf), vector_index(spark, sf).drop("text"), document_index(spark, sf), V.TOP_K_OFFER, "section"),
           f"WITH {hybrid_sql(True, 6)} SELECT query_id, item_id, rank, score, similarity FROM fused")
 
     def cited(spark, sf):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ class Versions:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._lists = f"{self.root}/manifest"
-        # A folder without a list is at version 0; writing an empty batch makes the folder readable.
-        self.spark.createDataFrame([], LIST).write.mode("append").parquet(f"{self._lists}/version=0")
+        try:
+            self._read()
+        except AnalysisException:       # a new folder: an empty list makes it readable
+            self.spark.createDataFrame([], LIST).write.mode("append").parquet(f"{self._lists}/version=0")
 
     def _read(self) -> DataFrame:
         return self.spark.read.schema(f"{LIST}, version int").option("basePath", self._lists).parquet(self._lists)
