@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from prospectra.functions import fixed_values as V
 
 
+MISSING = "MISSING"
+
+
 def resolve_path(payload: Column, path: Column) -> Column:
-    """The value at a path such as a.b[0].c as text, or MISSING."""
-    return F.coalesce(F.call_function("get_json_object", payload, F.concat(F.lit("$."), path)), F.lit("MISSING"))
+    """The value at a path such as a.b[0].c as text (objects and lists as JSON), null for JSON's null, and MISSING where the payload has no such
+    path or is not JSON."""
+    at = F.concat(F.lit("$."), path)
+    found = F.variant_get(F.try_parse_json(payload), at, "variant")
+    text = F.coalesce(F.try_variant_get(found, "$", "string"), F.to_json(found))
+    return F.when(found.isNull(), F.lit(MISSING)).when(~F.is_variant_null(found), text)
 
 
 def matches(kind: Column, expected: Column, actual: Column) -> Column:
     """Booleans match exactly, numbers within max(0.5 %, 0.01), everything else when equal (all given as text)."""
     e, a = expected.try_cast("double"), actual.try_cast("double")
     near = F.abs(a - e) <= F.greatest(F.abs(e) * V.ACCURACY_TOLERANCE, F.lit(V.ACCURACY_ABSOLUTE))
-    return F.coalesce(F.when((kind == "number") & a.isNotNull(), near).otherwise(expected == actual), F.lit(False))
+    return F.coalesce(F.when((kind == "number") & a.isNotNull(), near).otherwise(expected.eqNullSafe(actual)), F.lit(False))
 
 
 def accuracy_report(checked: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def register(r: Registry) -> None:
         per = c.join(o, c.c_custkey == o.o_custkey).groupBy("c_custkey", "c_nationkey").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
         n = F.col("c_custkey")
         actual = F.col("v") * (1 + (n % 7) / 1000)
-        payload = F.format_string('{"financial":{"metrics":[{"revenue":%s}],"listed":%s}}', F.round(actual, 2).cast("decimal(20,2)").cast("string"), (n % 2 == 0).cast("string"))
+        payload = F.format_string('{"financial":{"metrics":[{"revenue":%s}],"listed":%s}}', F.when(n % 13 == 5, "null").otherwise(F.round(actual, 2).cast("decimal(20,2)").cast("string")), (n % 2 == 0).cast("string"))
         path = F.when(n % 11 == 3, "financial.metrics[1].revenue").when(n % 4 == 0, "financial.listed").otherwise("financial.metrics[0].revenue")
         flag = n % 4 == 0
         return per.select(F.col("c_nationkey").alias("doc_id"), n.alias("fact_id"), payload.alias("payload"), path.alias("path"),
@@ -108,12 +108,12 @@ def register(r: Registry) -> None:
 
     acc = """WITH per AS (SELECT c_custkey AS n, c_nationkey, round(sum(o_totalprice), 2) AS v FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
         k AS (SELECT c_nationkey AS doc_id, n AS fact_id, CASE WHEN n % 11 = 3 THEN 'MISSING' WHEN n % 4 = 0 THEN CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END
-            ELSE CAST(CAST(round(v * (1 + (n % 7) / 1000.0E0), 2) AS DECIMAL(20,2)) AS VARCHAR) END AS actual, n % 4 = 0 AS flag, v FROM per),
-        q AS (SELECT *, CASE WHEN flag THEN CASE WHEN fact_id % 8 = 0 THEN 'true' ELSE 'false' END = actual
-            ELSE actual <> 'MISSING' AND abs(TRY_CAST(actual AS DOUBLE) - v) <= greatest(v * 0.005, 0.01) END AS ok FROM k)"""
+            WHEN n % 13 = 5 THEN NULL ELSE CAST(CAST(round(v * (1 + (n % 7) / 1000.0E0), 2) AS DECIMAL(20,2)) AS VARCHAR) END AS actual, n % 4 = 0 AS flag, v FROM per),
+        q AS (SELECT *, coalesce(CASE WHEN flag THEN CASE WHEN fact_id % 8 = 0 THEN 'true' ELSE 'false' END = actual
+            ELSE actual <> 'MISSING' AND abs(TRY_CAST(actual AS DOUBLE) - v) <= greatest(v * 0.005, 0.01) END, FALSE) AS ok FROM k)"""
     r.add("resolve_path", lambda spark, sf: checked(spark, sf).select(
-        "fact_id", F.col("actual").try_cast("double").alias("value"), F.when(F.col("actual").try_cast("double").isNull(), F.col("actual")).alias("other"), (F.col("actual") == "MISSING").alias("missing")),
-          f"{acc} SELECT fact_id, TRY_CAST(actual AS DOUBLE) AS value, CASE WHEN TRY_CAST(actual AS DOUBLE) IS NULL THEN actual END AS other, actual = 'MISSING' AS missing FROM q")
+        "fact_id", F.col("actual").try_cast("double").alias("value"), F.when(F.col("actual").try_cast("double").isNull(), F.col("actual")).alias("other"), F.coalesce(F.col("actual") == A.MISSING, F.lit(False)).alias("missing")),
+          f"{acc} SELECT fact_id, TRY_CAST(actual AS DOUBLE) AS value, CASE WHEN TRY_CAST(actual AS DOUBLE) IS NULL THEN actual END AS other, coalesce(actual = 'MISSING', FALSE) AS missing FROM q")
     r.add("accuracy_matches", lambda spark, sf: checked(spark, sf).select("doc_id", "fact_id", "ok"), f"{acc} SELECT doc_id, fact_id, ok FROM q")
     r.add("accuracy_report", lambda spark, sf: A.accuracy_report(checked(spark, sf)),
           f"{acc} SELECT doc_id, count(*) FILTER (ok) AS passed, count(*) AS total FROM q GROUP BY ROLLUP (doc_id)")
