@@ -16,6 +16,7 @@ from prospectra.functions.text import (
     collapse_ws, is_skipped_section, looks_like_heading, normalise_title, section_key, without_section_prefix,
 )
 from prospectra.operators.chunking import page_sections, split_text
+from prospectra.operators.ordered import id_bucket, last_before
 
 ENTRIES = "array<struct<title:string,page:int>>"
 LINE_BREAK = r"\R"
@@ -206,8 +207,15 @@ def risk_headings(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda s: s["risks"])
 
 
+GAP_ROWS = 65_536       # numbers of a gap that one row is expanded to
+
+
 def missing_numbers(found: DataFrame) -> DataFrame:
-    """(doc_id, number): gaps in 1..max. The expected numbers are spread by the anti-join, not gathered per document."""
-    last = found.groupBy("doc_id").agg(F.max("number").alias("n"))
-    return (last.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("number"))
-            .join(found.select("doc_id", F.col("number").cast("long").alias("number")), ["doc_id", "number"], "left_anti"))
+    """(doc_id, number): gaps in 1..max. Each number looks back to the one before it, and only what lies between is listed, a wide gap in
+    several rows; numbers below 1 do not count."""
+    number = F.col("number").cast("long")
+    held = found.select("doc_id", number.alias("number")).where("number >= 1").distinct()
+    seen = last_before(held, ["doc_id"], id_bucket(F.col("number")), F.col("number"), F.col("number"), "before")
+    gaps = seen.select("doc_id", (F.coalesce("before", F.lit(0).cast("long")) + 1).alias("first"), (F.col("number") - 1).alias("last")).where("first <= last")
+    parts = gaps.select("doc_id", "last", F.explode(F.sequence("first", "last", F.lit(GAP_ROWS).cast("long"))).alias("first"))
+    return parts.select("doc_id", F.explode(F.sequence("first", F.least("last", F.col("first") + GAP_ROWS - 1))).alias("number"))

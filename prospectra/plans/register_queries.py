@@ -177,9 +177,9 @@ def register(r: Registry) -> None:
         "item_id", F.col("item_id") * 2), headings(spark, sf), ON).select("item_id", "score"), f"""
         WITH {check_sql('risk_answers')} SELECT item_id * 2 AS item_id, score FROM risk_answers WHERE item_id * 2 IN (SELECT doc_id FROM documents)""")
     r.add("missing_numbers", lambda spark, sf: missing_numbers_of(spark, sf), """
-        WITH found AS (SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, n_chars % 997 + 1 AS number FROM documents),
+        WITH found AS (SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, n_chars AS number FROM documents),
         last AS (SELECT doc_id, max(number) AS n FROM found GROUP BY doc_id)
-        SELECT doc_id, number FROM (SELECT doc_id, unnest(generate_series(1, n)) AS number FROM last) WHERE (doc_id, number) NOT IN (SELECT doc_id, number FROM found)""")
+        SELECT doc_id, number FROM (SELECT doc_id, unnest(generate_series(1, n)) AS number FROM last) AS listed ANTI JOIN found USING (doc_id, number)""")
     r.add("balanced_split", lambda spark, sf: R.balanced_split(headings(spark, sf), 7).select("doc_id", "number", "batch"), f"""
         WITH {HEADINGS_SQL}, run AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS running,
            sum(length(text)) OVER (PARTITION BY doc_id) AS total FROM headings)
@@ -260,4 +260,4 @@ def missing_numbers_of(spark, sf):
 
     d = table(spark, sf, "documents")
     return missing_numbers(d.select(F.substring("source", F.lit(4), F.lit(9)).cast("long").alias("doc_id"),
-                                    (F.col("n_chars") % 997 + 1).alias("number")))
+                                    F.col("n_chars").alias("number")))
