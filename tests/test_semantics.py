@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import text as T
 from prospectra.functions.columns import exact_round, fixed, general, grouped
-from prospectra.operators import accuracy, chunking, grounding, legal, offer, ordered, retrieval, structure
+from prospectra.operators import accuracy, cells, chunking, grounding, legal, offer, ordered, retrieval, structure
 from prospectra.sources import text_files
 from prospectra.streaming import jobs, replay
 
@@ -89,7 +89,9 @@ def test_text_files_in_three_encodings(spark, tmp_path):
 
 
 def test_neighbours_with_ties_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 3)
+    monkeypatch.setattr(cells, "QUESTION_ROWS", 3)
+    monkeypatch.setattr(cells, "PIVOTS", 6)
+    monkeypatch.setattr(cells, "CELL_ROWS", 5)
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(40, 4)).astype(np.float32)
     vectors[10:20] = vectors[5]                                   # ties, decided by the smaller id
