@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
+from prospectra.functions.columns import fixed
 from prospectra.operators import accuracy as A
 from prospectra.plans.inputs import check_sql, derived, table
 from prospectra.plans.registry import Registry
@@ -95,7 +96,7 @@ def register(r: Registry) -> None:
         per = c.join(o, c.c_custkey == o.o_custkey).groupBy("c_custkey", "c_nationkey").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
         n = F.col("c_custkey")
         actual = F.col("v") * (1 + (n % 7) / 1000)
-        payload = F.format_string('{"financial":{"metrics":[{"revenue":%s}],"listed":%s}}', F.when(n % 13 == 5, "null").otherwise(F.round(actual, 2).cast("decimal(20,2)").cast("string")), (n % 2 == 0).cast("string"))
+        payload = F.format_string('{"financial":{"metrics":[{"revenue":%s}],"listed":%s}}', F.when(n % 13 == 5, "null").otherwise(fixed(actual, 2)), (n % 2 == 0).cast("string"))
         path = F.when(n % 11 == 3, "financial.metrics[1].revenue").when(n % 4 == 0, "financial.listed").otherwise("financial.metrics[0].revenue")
         flag = n % 4 == 0
         return per.select(F.col("c_nationkey").alias("doc_id"), n.alias("fact_id"), payload.alias("payload"), path.alias("path"),

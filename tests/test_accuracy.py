@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from prospectra.operators.accuracy import matches, resolve_path
 
 
@@ -18,3 +19,11 @@ def test_null_matches_null_alone(spark):
     rows = [("text", None, None, True), ("text", "x", None, False), ("text", None, "MISSING", False), ("number", "1", None, False), ("number", None, None, True)]
     got = spark.createDataFrame(rows, "kind string, e string, a string, ok boolean").select(matches(F.col("kind"), F.col("e"), F.col("a")).alias("got"), "ok").collect()
     assert all(r["got"] == r["ok"] for r in got)
+
+
+def test_saved_values_are_rounded_by_their_binary_value(spark, tmp_path):
+    """2440877 and half a percent are 2453081.385, as a double a little less: the saved value is 2453081.38, within the tolerance."""
+    spark.createDataFrame([(19, 1)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(19, 2440877.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["fact_id"]: r["ok"] for r in queries()["accuracy_matches"](spark, str(tmp_path)).collect()}
+    assert got == {19: True}
