@@ -19,6 +19,13 @@ def values(spark, expression, *inputs, schema="x STRING"):
     return [r[0] for r in rows.select(expression).collect()]
 
 
+@pytest.mark.parametrize("digits", [0, 1, 2, 3, 4, 5, 6, 9])
+def test_half_a_unit_is_rounded_by_its_binary_value(spark, digits):
+    half = 5 / 10 ** (digits + 1)
+    xs = [half, -half, 3 * half, half * (1 + 2 ** -50), half * (1 - 2 ** -50), None]
+    assert values(spark, fixed(F.col("x"), digits), *[(x,) for x in xs], schema="x DOUBLE") == [None if x is None else f"{x:.{digits}f}" for x in xs]
+
+
 def test_rounding_and_formats_follow_the_binary_value(spark):
     xs = [2.675, 0.125, 1.255, -0.004, 1234567.25, 82.03, 20.0, 0.5, 1234567.0, 99999.96, 0.00125, 0.0, 150.0]
     x = F.col("x")
