@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,13 +105,11 @@ def list_analyses(results: DataFrame) -> DataFrame:
             .orderBy(F.desc("finished_at"), "doc_id"))
 
 
-def analysis_view(documents: DataFrame, sections: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
-    """A document with its outline and every agent's status, by left joins on the document key."""
-    outline = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "key", "start_page", "end_page"))).alias("sections"))
-    view = documents.join(outline, "doc_id", "left")
-    for name, result in results.items():
-        view = view.join(result.select("doc_id", F.col("status").alias(name)), "doc_id", "left")
-    return view
+def analysis_view(documents: DataFrame, results: DataFrame, agents: Sequence[str]) -> DataFrame:
+    """A document with its sections in order (null if it has none) and, as a column each, every agent's latest status (doc_id, agent, result_id, status)."""
+    ordered = F.array_sort(F.transform("sections", lambda s: F.struct(*[s[c].alias(c) for c in ("pos", "title", "key", "start_page", "end_page")])))
+    states = results.groupBy("doc_id").agg(*[F.max_by("status", F.when(F.col("agent") == a, F.col("result_id"))).alias(a) for a in agents])
+    return documents.withColumn("sections", F.when(F.size("sections") > 0, ordered)).join(states, "doc_id", "left")
 
 
 def warnings_rollup(warnings: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from prospectra.plans.ratio_queries import FLAGS_SQL, SCORECARD_SQL, profiles
 from prospectra.plans.registry import Registry, shared
 from prospectra.plans.statement_queries import PAGE_STATEMENT_SQL, statement_pages
 from prospectra.plans.structure_queries import SECTIONS_SQL, parsed
-from prospectra.operators import structure as S
 
 
 def issuers(spark, sf):
@@ -349,9 +348,7 @@ def register(r: Registry) -> None:
         SELECT doc_id, max(done_at) AS finished_at, {', '.join(f"max(status) FILTER (agent = '{a}') AS {a}" for a in agents)} FROM l GROUP BY doc_id""")
 
     def view(spark, sf):
-        p = parsed(spark, sf)
-        latest = derived(spark, sf, "agent_results").groupBy("doc_id", "agent").agg(F.max_by("status", "result_id").alias("status"))
-        out = P.analysis_view(p.select("doc_id", "page_offset"), S.section_rows(p), {a: latest.where(F.col("agent") == a) for a in agents})
+        out = P.analysis_view(parsed(spark, sf).select("doc_id", "page_offset", "sections"), derived(spark, sf, "agent_results"), agents)
         return out.select("doc_id", "page_offset", F.array_join(F.transform("sections", lambda s: s["title"]), " | ").alias("outline"), *agents)
 
     r.add("analysis_view", view, f"""
