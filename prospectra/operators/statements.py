@@ -116,7 +116,7 @@ def assemble_items(values: DataFrame) -> DataFrame:
     """(doc_id, item, period, value) in million.
 
     `values` has doc_id, page, table_no, entry_no, statement, unit, label, parent, period, value. The first
-    printed row of an item counts; borrowings add up over all their rows.
+    printed row of an item counts; borrowings add up over all their rows, in printed order.
     """
     item = match_line_item(F.col("statement"), F.col("label"), F.col("parent"))
     factor = F.when(F.col("item").isin(*V.PER_SHARE_ITEMS), 1.0).otherwise(lookup(F.col("unit"), V.UNITS_TO_MILLION))
@@ -125,11 +125,16 @@ def assemble_items(values: DataFrame) -> DataFrame:
     at = F.struct("page", "table_no", "entry_no")
     one_row = read.groupBy("doc_id", "item", "page", "table_no", "entry_no").agg(F.collect_list(F.struct("period", "value")).alias("v"))
     summed = F.col("item").isin(*V.SUMMED_ITEMS)
-    first = (one_row.where(~summed).groupBy("doc_id", "item").agg(F.min_by("v", at).alias("v"))
-             .select("doc_id", "item", F.inline("v")))
-    total = (read.where(summed).groupBy("doc_id", "item", "period")
-             .agg(exact_round(F.sum("value"), 2).alias("value")))
-    return first.unionByName(total)
+    packed = one_row.groupBy("doc_id", "item").agg(
+        F.min_by("v", at).alias("v"), F.array_sort(F.collect_list(F.when(summed, F.struct(at.alias("at"), "v")))).alias("rows"))
+
+    def total(period: Column) -> Column:
+        found = F.filter("all", lambda x: x["period"].eqNullSafe(period) & x["value"].isNotNull())
+        added = F.aggregate(found, F.lit(0.0), lambda sum, x: sum + x["value"])
+        return F.struct(period.alias("period"), F.when(F.size(found) > 0, exact_round(added, 2)).alias("value"))
+
+    added = packed.withColumn("all", F.flatten("rows.v"))
+    return added.select("doc_id", "item", F.inline(F.when(summed, F.transform(F.array_distinct("all.period"), total)).otherwise(F.col("v"))))
 
 
 def order_periods(tables: DataFrame) -> DataFrame:
