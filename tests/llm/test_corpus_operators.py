@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from prospectra.llm import common, embeddings, lm, near_copies, packing, quality, sharding, simhash
+from prospectra.llm import common, embeddings, lm, near_copies, packing, quality, secrets, sharding, simhash
 from tests.llm.fixtures import EDGES, docs, prose
 
 SF = "/root/testdata/sf0.001"
@@ -345,3 +345,14 @@ def test_every_operator_is_registered():
     names = entry.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_secrets_take_one_python_pass(spark):
+    """A stage with two passes keeps two Python workers for each task, and all of them stay in the executor's memory."""
+    rows = docs(spark, [*EDGES, (20, "token = abcdef token: ghijkl!"), (21, "no more")])
+    got = corpus_pipeline.redact_secrets(spark, rows, "")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    old = rows.withColumn("spots", secrets.find_secrets("text")).withColumn("text", secrets.redact("text", "spots"))
+    n_chars = F.when(F.size("spots") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(rows.schema["n_chars"].dataType)
+    key = lambda r: str(r)      # noqa: E731
+    assert sorted(got.collect(), key=key) == sorted(old.withColumn("n_chars", n_chars).select(rows.columns).collect(), key=key)
