@@ -66,8 +66,8 @@ def split_cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cases.where("against_party"), cases.where("NOT against_party")
 
 
-def case_summary(cases: DataFrame, net_worth: DataFrame) -> DataFrame:
-    """One row per document: count and amount of core cases by type, totals, share of net worth."""
+def case_summary(cases: DataFrame, net_worth: DataFrame, **more: Column) -> DataFrame:
+    """One row per document: count and amount of core cases by type, totals, share of net worth, and `more` aggregates of its cases."""
     counted = F.col("against_party") & F.col("party").isin(*V.CORE_PARTIES) & ~F.col("in_total_row")
     # three decimals each: exact decimal sums do not depend on the order of addition
     amount = F.col("amount_million").cast("decimal(28,3)")
@@ -83,7 +83,8 @@ def case_summary(cases: DataFrame, net_worth: DataFrame) -> DataFrame:
                      exact_round(total(of_type), 2).alias(f"amount_{t}")]
     summed = cases.groupBy("doc_id").agg(
         *per_type, exact_round(total(counted), 2).alias("total_amount"),
-        F.coalesce(F.sum(F.when(~F.col("against_party") & ~F.col("in_total_row"), F.col("count"))), zero).alias("filed_by_parties"))
+        F.coalesce(F.sum(F.when(~F.col("against_party") & ~F.col("in_total_row"), F.col("count"))), zero).alias("filed_by_parties"),
+        *[aggregate.alias(name) for name, aggregate in more.items()])
     worth = summed.join(net_worth.select("doc_id", "net_worth"), "doc_id", "left")
     return worth.withColumn("pct_of_net_worth", F.when(
         F.col("net_worth") > 0, exact_round(F.col("total_amount") / F.col("net_worth") * 100, 1)))

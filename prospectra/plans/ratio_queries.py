@@ -12,17 +12,24 @@ from prospectra.plans.inputs import FIN_ITEMS, check_sql, derived
 from prospectra.plans.registry import Registry, shared
 
 
-@shared
-def facts(spark, sf):
+def long_facts(wide):
     """Long facts; items a period lacks are absent."""
-    wide = derived(spark, sf, "fin_wide")
     return (wide.unpivot(["doc_id", "period"], [F.col(i).cast("double").alias(i) for i in FIN_ITEMS], "item", "value")
             .where("value IS NOT NULL"))
 
 
+def periods_of(wide):
+    return wide.select("doc_id", "period", "full_year", "y", "m")
+
+
+@shared
+def facts(spark, sf):
+    return long_facts(derived(spark, sf, "fin_wide"))
+
+
 @shared
 def periods(spark, sf):
-    return derived(spark, sf, "fin_wide").select("doc_id", "period", "full_year", "y", "m")
+    return periods_of(derived(spark, sf, "fin_wide"))
 
 
 @shared

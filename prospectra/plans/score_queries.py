@@ -6,42 +6,69 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import fixed_values as V
 from prospectra.functions.columns import fill, general, grouped, lookup, plain
-from prospectra.operators import legal as L, offer as O, ratios as R, register as G, report as P, rubric as B
+from prospectra.operators import legal as L, offer as O, ratios as R, register as G, report as P, rubric as B, statements as S
 from prospectra.operators.report import DIGEST_TEXT as DT, FACT_TEXT as FT
 from prospectra.plans import register_queries as Q
-from prospectra.plans.inputs import check_sql, derived, table
-from prospectra.plans.ratio_queries import FLAGS_SQL, SCORECARD_SQL, profiles
+from prospectra.plans.inputs import check_sql, derived, spread_derived, table
+from prospectra.plans.ratio_queries import FLAGS_SQL, SCORECARD_SQL, long_facts, periods_of
 from prospectra.plans.registry import Registry, shared
 from prospectra.plans.statement_queries import PAGE_STATEMENT_SQL, statement_pages
 from prospectra.plans.structure_queries import SECTIONS_SQL, parsed
+from prospectra.sources.folders import stored
 
 
 def issuers(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"))
 
 
+# What several parts of a score or report use is stored once per query: Spark would work it out again for each part.
+@shared
+def figures(spark, sf):
+    """Facts and periods of all issuers, from one pass over the lines."""
+    wide = stored(derived(spark, sf, "fin_wide"))
+    return long_facts(wide), periods_of(wide)
+
+
+@shared
+def issuer_profiles(spark, sf):
+    return stored(R.profile(*figures(spark, sf)))
+
+
+@shared
+def risks(spark, sf):
+    return stored(Q.register_of(spark, sf).join(issuers(spark, sf), "doc_id", "left_semi").select("doc_id", "number", "page", "score", "category", "severity", "headline"))
+
+
+@shared
+def issuer_cases(spark, sf):
+    """The case summary of each issuer, with the pages of its cases against the parties. All steps go document by document, so others' cases need not be read closely."""
+    read = spread_derived(spark, sf, "cases", "events", "ord").join(issuers(spark, sf), "doc_id", "left_semi")
+    cases = stored(L.dedupe_cases(L.case_records(read, Q.shown()).drop("heading", "warning")).drop("summary"))
+    return stored(L.case_summary(L.mark_totals(cases), S.net_worth(*figures(spark, sf)), against_pages=F.collect_set(F.when(F.col("against_party"), F.col("page")))))
+
+
 @shared
 def risk_status(spark, sf):
-    return G.risk_counts(Q.register_of(spark, sf)).withColumn("status", F.when(F.col("doc_id") % 6 == 5, "failed").otherwise("done"))
+    return G.risk_counts(risks(spark, sf)).withColumn("status", F.when(F.col("doc_id") % 6 == 5, "failed").otherwise("done"))
 
 
 @shared
 def legal_flag_rows(spark, sf):
-    return L.legal_flags(Q.legal_summary(spark, sf), derived(spark, sf, "approvals"))
+    return L.legal_flags(issuer_cases(spark, sf), derived(spark, sf, "approvals"))
 
 
 @shared
 def part(name, spark, sf):
     docs = issuers(spark, sf)
     if name == "financial":
-        p = profiles(spark, sf)
+        p = issuer_profiles(spark, sf)
         return B.score_financial(docs, R.scorecard(p), R.financial_flags(p))
     if name == "risk":
         return B.score_risk(docs, risk_status(spark, sf))
     if name == "business":
         return B.score_business(docs, derived(spark, sf, "promoters"))
     if name == "legal":
-        return B.score_legal(docs, Q.legal_summary(spark, sf), derived(spark, sf, "approvals"))
+        return B.score_legal(docs, issuer_cases(spark, sf), derived(spark, sf, "approvals"))
     m = issuer_metrics(spark, sf)
     return B.score_offer(docs, m, O.offer_flags(m))
 
@@ -147,12 +174,21 @@ def of_issuers(spark, sf, name, key="doc_id"):
 
 @shared
 def issuer_metrics(spark, sf):
-    return O.offer_metrics(of_issuers(spark, sf, "offers"), of_issuers(spark, sf, "objects"))
+    return stored(O.offer_metrics(of_issuers(spark, sf, "offers"), uses_of_issuers(spark, sf)))
+
+
+@shared
+def uses_of_issuers(spark, sf):
+    return stored(of_issuers(spark, sf, "objects"))
 
 
 @shared
+def issuer_claims(spark, sf):
+    return stored(of_issuers(spark, sf, "claims"))
+
+
 def claims(spark, sf, kind):
-    return of_issuers(spark, sf, "claims").where(F.col("kind") == kind)
+    return issuer_claims(spark, sf).where(F.col("kind") == kind)
 
 
 def case_counts(separator):
@@ -170,18 +206,19 @@ def commas(amount):
 
 @shared
 def fact_sources(spark, sf):
-    p = profiles(spark, sf)
+    p = issuer_profiles(spark, sf)
     docs = issuers(spark, sf)
     # Pages: those on which each statement was found first; the offer's; those of the cases that count as against.
     pages = statement_pages(spark, sf).where("statement IS NOT NULL").groupBy("doc_id", "statement").agg(F.min("page").alias("page")).groupBy("doc_id").agg(F.collect_list("page").alias("pages"))
     empty = F.coalesce("pages", F.array().cast("array<int>"))
+    pages = stored(pages)
     scored = R.scorecard(p).join(pages, "doc_id", "left")
     card = scored.select("doc_id", *P.fact("F", 1, F.col("ord"), fill(
         FT["signal"], dimension=P.readable(F.col("dimension")), signal=F.col("signal"), reason=F.col("reason")), empty))
     summary_fact = claims(spark, sf, "summary").join(scored.select("doc_id", "pages").distinct(), "doc_id").select("doc_id", *P.fact("F", 0, F.col("ord"), F.col("text"), empty))
     flags = R.financial_flags(p).join(pages, "doc_id", "left").select("doc_id", *P.fact("F", 2, F.col("ord"), fill(
         FT["flag"], severity=F.col("severity"), message=F.col("message")), empty))
-    register = Q.register_of(spark, sf)
+    register = risks(spark, sf)
     counts = G.risk_counts(register).select("doc_id", *P.fact("R", 3, F.lit(0), fill(
         FT["risks"], total=F.col("total"), average=F.col("average_score"), high=F.col("severity_high"))))
     top = G.top_risks(register, 8).select("doc_id", *P.fact("R", 4, F.col("place"), fill(
@@ -201,18 +238,17 @@ def fact_sources(spark, sf):
     sellers = P.joined(of_issuers(spark, sf, "sellers"), "names", "ord", F.col("name"), ", ").join(offer, "doc_id").select(
         "doc_id", *P.fact("O", 14, F.lit(0), fill(FT["sellers"], names=F.col("names")), F.array("offer_page")))
     amount = F.coalesce(fill(": {amount} {unit}", amount=commas(F.col("amount")), unit=F.col("amount_unit")), F.lit(""))
-    uses = of_issuers(spark, sf, "objects").join(offer, "doc_id").select("doc_id", *P.fact("O", 15, F.col("ord"), fill(
+    uses = uses_of_issuers(spark, sf).join(offer, "doc_id").select("doc_id", *P.fact("O", 15, F.col("ord"), fill(
         FT["use"], purpose=F.col("purpose"), amount=amount), F.array("page")))
     offer_flags = O.offer_flags(m).join(offer, "doc_id").select("doc_id", *P.fact("O", 16, F.col("ord"), F.col("message"), F.array("offer_page")))
     peers = derived(spark, sf, "peers").select("doc_id", *P.fact("O", 17, F.lit(0), fill(
         FT["peers"], low=plain(F.col("low")), high=plain(F.col("high")), mean=plain(F.col("mean"))), F.array("page")))
-    summary = Q.legal_summary(spark, sf).join(docs, "doc_id", "left_semi")
-    against = L.split_cases(Q.marked_cases(spark, sf))[0].groupBy("doc_id").agg(F.collect_set("page").alias("pages"))
+    summary = issuer_cases(spark, sf)
     cases = case_counts("; ")
     share = F.coalesce(fill(" ({share}% of net worth)", share=general(F.col("pct_of_net_worth"))), F.lit(""))
-    legal = summary.join(against, "doc_id", "left").select("doc_id", *P.fact("L", 18, F.lit(0), fill(
-        FT["cases"], cases=F.when(cases == "", "none material").otherwise(cases), amount=grouped(F.col("total_amount"), 1), share=share), empty))
-    legal_flags = L.legal_flags(summary, derived(spark, sf, "approvals")).select("doc_id", *P.fact("L", 19, F.col("ord"), F.col("message")))
+    legal = summary.select("doc_id", *P.fact("L", 18, F.lit(0), fill(
+        FT["cases"], cases=F.when(cases == "", "none material").otherwise(cases), amount=grouped(F.col("total_amount"), 1), share=share), F.col("against_pages")))
+    legal_flags = legal_flag_rows(spark, sf).select("doc_id", *P.fact("L", 19, F.col("ord"), F.col("message")))
     pending = derived(spark, sf, "pending").select("doc_id", *P.fact("L", 20, F.col("ord"), fill(FT["pending"], item=F.col("item")), F.array("page")))
     rows = [summary_fact, card, flags, counts, top, claim(5, "description"), claim(6, "strength"), claim(7, "weakness"), claim(8, "market_position"), promoters, pledge,
             claim(11, "governance").join(with_people, "doc_id", "left_semi"), claim(12, "related_party").join(with_people, "doc_id", "left_semi"),
@@ -292,18 +328,18 @@ def register(r: Registry) -> None:
         place, label, most = (lookup(c("part"), {part: values[k] for part, values in of_part.items()}) for k in range(3))
         parts = P.joined(all_parts(spark, sf).withColumn("place", place), "parts", "place", fill("{label} {points}/{most}", label=label, points=general(c("points")), most=most), ", ")
         s = scores(spark, sf).join(parts, "doc_id")
-        p = profiles(spark, sf)
+        p = issuer_profiles(spark, sf)
         card = P.joined(R.scorecard(p), "signals", "ord", F.concat(P.readable(c("dimension")), F.lit(" "), c("signal"), F.lit(" ("), c("reason"), F.lit(")")), "; ")
         flags = P.joined(R.financial_flags(p), "flags", "ord", c("message"), " | ")
-        register = Q.register_of(spark, sf)
+        register = risks(spark, sf)
         people = of_issuers(spark, sf, "promoters")
         pledged = F.when(c("shares_pledged"), DT["pledged"]).when(~c("shares_pledged"), DT["not_pledged"]).otherwise(DT["pledge_unknown"])
         m = issuer_metrics(spark, sf)
-        uses = P.joined(of_issuers(spark, sf, "objects").join(m.select("doc_id", "amount_unit"), "doc_id"), "uses", "ord", F.concat(
+        uses = P.joined(uses_of_issuers(spark, sf).join(m.select("doc_id", "amount_unit"), "doc_id"), "uses", "ord", F.concat(
             c("purpose"), F.lit(" ("), F.coalesce(plain(c("amount")), F.lit("None")), F.lit(" "), c("amount_unit"), F.lit(")")), "; ")
         priced = F.coalesce(c("fresh_issue_million") != 0, F.lit(False))
         offer = m.join(uses, "doc_id", "left")
-        summary = Q.legal_summary(spark, sf)
+        summary = issuer_cases(spark, sf)
         cases = case_counts(", ")
         share = F.coalesce(fill(" ({share}% of net worth)", share=plain(c("pct_of_net_worth"))), F.lit(""))
         lines = [

@@ -22,6 +22,13 @@ def test_tables_are_read_once(spark):
     assert reads(view, "event_id") == 1 and reads(view, "c_custkey") <= 1 and reads(view, "s_suppkey") <= 1
 
 
+def test_scores_and_facts_share_what_they_use(spark):
+    queries = catalogue().queries
+    for name in ("total_and_rating", "cite_points", "collect_facts"):
+        df = queries[name](spark, SF)
+        assert reads(df, "event_id") <= 1 and reads(df, "l_shipdate") <= 1 and reads(df, "lang") <= 1, name
+
+
 def test_borrowings_add_up_and_other_items_count_once(spark):
     row = lambda label, entry, period, value: (1, 60, 1, entry, "balance_sheet", "million", label, "", period, value)        # noqa: E731
     values = spark.createDataFrame(
