@@ -49,7 +49,8 @@ def links(prints: DataFrame) -> DataFrame:
     high, low = F.shiftrightunsigned(differing, SEGMENT_BITS), differing.bitwiseAND((1 << SEGMENT_BITS) - 1)
     # A pair shares up to 32 variants of a segment; it counts where the wildcard is the differing bit, or else the first.
     place = (F.when(F.bit_count(high) == 0, 0).when(F.bit_count(high) == 1, F.bit_count(high - 1)).otherwise(SEGMENT_BITS))
-    return (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.bit_count(differing) <= MOST_BITS)
+    # Spark takes the exploded index for as small as the rows that it came from and would broadcast all variants; hence the hint.
+    return (a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.bit_count(differing) <= MOST_BITS)
                    & (F.shiftrightunsigned(F.col("a.key"), SEGMENT_BITS) == place))
             .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
 
@@ -66,7 +67,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     components = connected_components(links(classes.where("node IS NOT NULL")))
     by_print = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    # A row per document, which takes far less room in a file (with many copies) than in memory, must not be broadcast for its file's size.
+    return prints.join(by_print.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,20 @@ def test_simhash_links_every_near_pair(spark):
     assert got == sorted(want)
 
 
+def test_simhash_broadcasts_neither_variants_nor_documents(spark):
+    rng = random.Random(4)
+    prints = [(rng.getrandbits(63), i) for i in range(2000)]
+    prints += [(p ^ 1 << 40, 2000 + i) for p, i in prints[:20]]
+    links = simhash.links(common.written(spark.createDataFrame(prints, "fp long, node long")))
+    assert sorted(map(tuple, links.collect())) == [(i, 2000 + i) for i in range(20)]
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "Broadcast" not in plan
+    found = simhash.near_duplicates(docs(spark, [(i, "the same few words") for i in range(2000)]))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(i, 0) for i in range(2000)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [fp" in plan and "BroadcastHashJoin [fp" not in plan
+
+
 def test_embeddings_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "MEMBERS", 16)          # larger buckets and components are cut
     rng = np.random.default_rng(6)
